@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import digest, mixing, packing, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op4_packing": packing.query,
+    "op8_digest": digest.query,
+    "op9_toxicity": toxicity.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
