@@ -156,3 +156,26 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             down[0] = 1
             _POWERS[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
     return _POWERS[0], _POWERS[1]
+
+
+def rounds(texts: list[str | None], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Cuts a batch into runs of about `most` characters, so that a round's arrays stay small; a longer text is a run of its own."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= most:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+    """64 bits of each run of `width` word hashes."""
+    n = len(hashes) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for j in range(width):
+        out = out * np.uint64(0xD1342543DE82EF95) + hashes[j : j + n]
+    return mixed(out)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import digest, mixing, packing, toxicity
+from . import digest, forest, jaccard, mixing, packing, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op4_packing": packing.query,
+    "op5_jaccard": jaccard.query,
+    "op6_forest": forest.query,
     "op8_digest": digest.query,
     "op9_toxicity": toxicity.query,
 }
