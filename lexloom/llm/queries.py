@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import digest, forest, jaccard, mixing, packing, toxicity
+from . import digest, forest, jaccard, mixing, packing, substrings, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op3_substrings": substrings.query,
     "op4_packing": packing.query,
     "op5_jaccard": jaccard.query,
     "op6_forest": forest.query,
