@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import digest, forest, jaccard, mixing, packing, substrings, toxicity
+from . import digest, forest, jaccard, language_model, mixing, packing, substrings, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_forest": forest.query,
     "op8_digest": digest.query,
     "op9_toxicity": toxicity.query,
+    "op10_language_model": language_model.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
