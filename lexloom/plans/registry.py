@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import texts
+
+QUERIES = {**texts.QUERIES}
+ORACLE_SQL = {**texts.ORACLE_SQL}
