@@ -75,9 +75,9 @@ def lookup(words: DataFrame, records: DataFrame, inflections: DataFrame) -> Data
 
 
 def sidecar_lookup(words: DataFrame, records: DataFrame, inflections: DataFrame) -> DataFrame:
-    """J-04, Q-01: word, found, pronunciation, translations, related, probability, lemmas: the first entry, a row a word.
+    """J-04, Q-01: asked, word, found, pronunciation, translations, related, probability, lemmas: the first entry, a row a word asked for.
 
-    lemmas is filled only where the word itself is no key: its lemmas, or the word where it has none.
+    lemmas is filled only where the word itself is no key: its lemmas, or the word where it has none. Unknown words keep their own spelling.
     """
     first = lookup(words.select("word").distinct(), records.where("entry_idx = 0").withColumnRenamed("word", "headword"), inflections)
     of = inflections.select(F.col("form").alias("__form"), F.col("lemmas").alias("__lemmas"))
@@ -85,8 +85,8 @@ def sidecar_lookup(words: DataFrame, records: DataFrame, inflections: DataFrame)
     found, empty = F.col("lemma").isNotNull(), F.expr("cast(array() as array<string>)")
     direct = found & ~F.col("via_lemma")
     return joined.select(
-        "word", found.alias("found"), F.when(found, F.col("pronunciation")).alias("pronunciation"), F.when(found, F.col("own")).otherwise(empty).alias("translations"), F.when(found, F.col("related")).otherwise(empty).alias("related"), F.when(found, F.col("prob")).alias("probability"),
-        F.when(direct, empty).otherwise(F.coalesce("__lemmas", F.array("word"))).alias("lemmas"),
+        F.col("word").alias("asked"), F.coalesce("headword", "word").alias("word"), found.alias("found"), F.coalesce("pronunciation", F.lit("")).alias("pronunciation"), F.coalesce("own", empty).alias("translations"), F.coalesce("related", empty).alias("related"),
+        F.coalesce("prob", F.lit(0.0)).alias("probability"), F.when(direct, empty).otherwise(F.coalesce("__lemmas", F.array("word"))).alias("lemmas"),
     )
 
 

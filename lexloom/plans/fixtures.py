@@ -74,7 +74,9 @@ def literal(v) -> str:
         return "NULL"
     if isinstance(v, bool):
         return str(v).upper()
-    if isinstance(v, int | float):
+    if isinstance(v, float):
+        return f"{v!r}::DOUBLE"
+    if isinstance(v, int):
         return repr(v)
     if isinstance(v, list | tuple):
         return "[" + ", ".join(map(literal, v)) + "]" + ("" if v else "::VARCHAR[]")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import texts
+from . import lexical, reports, texts
 
-QUERIES = {**texts.QUERIES}
-ORACLE_SQL = {**texts.ORACLE_SQL}
+QUERIES = {**texts.QUERIES, **lexical.QUERIES, **reports.QUERIES}
+ORACLE_SQL = {**texts.ORACLE_SQL, **lexical.ORACLE_SQL, **reports.ORACLE_SQL}
