@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import SPACE
 
@@ -17,14 +18,14 @@ KATAKANA = "".join(map(chr, range(0x30A1, 0x30F7)))
 HIRAGANA = "".join(map(chr, range(0x3041, 0x3097)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compatible(text: pd.Series) -> pd.Series:
     import unicodedata
 
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _folded(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else t.casefold())
 

@@ -267,7 +267,7 @@ def audit_summary(tasks: DataFrame, judgments: DataFrame, version: str | None =
 
 def _rates(*more: Column) -> list[Column]:
     n, of = F.count("*"), lambda *labels: F.count_if(F.col("label").isin(*labels))
-    share = lambda *labels: F.round(of(*labels) / n, 4)
+    share = lambda *labels: F.round(F.try_divide(of(*labels), n), 4)
     return [n.alias("n"), *[of(x).alias(x) for x in "KPXU"], *more, share("K").alias("strict"), share("K", "P").alias("lenient")]
 
 

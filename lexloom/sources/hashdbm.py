@@ -20,12 +20,12 @@ _MASK = (1 << 64) - 1
 
 
 def murmur(data: bytes, seed: int = SEED) -> int:
-    """F-16: MurmurHash2 of 64 bits, as its author published it."""
+    """F-16: MurmurHash2 of 64 bits, with a block's multiplication before its exclusive or, as the format has it."""
     h = seed ^ (len(data) * MULTIPLIER & _MASK)
     whole = len(data) // 8 * 8
     for at in range(0, whole, 8):
         k = int.from_bytes(data[at : at + 8], "little") * MULTIPLIER & _MASK
-        h = (h ^ ((k ^ k >> 47) * MULTIPLIER & _MASK)) * MULTIPLIER & _MASK
+        h = (h * MULTIPLIER & _MASK) ^ ((k ^ k >> 47) * MULTIPLIER & _MASK)
     if len(data) > whole:
         h = (h ^ int.from_bytes(data[whole:], "little")) * MULTIPLIER & _MASK
     h = (h ^ h >> 47) * MULTIPLIER & _MASK
