@@ -11,16 +11,17 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read, written
+from .common import mixed, read, written
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are features beside whole words.
@@ -38,6 +39,18 @@ def features(text: str | None) -> Counter:
     return out
 
 
+def families(words: Counter, bands: int = 3, rows: int = 3) -> list[int]:
+    """Bands of MinHash values of a text's words: near copies share most of them, other texts hardly any."""
+    if not words:
+        return [0] * bands
+    own = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint64, len(words))
+    least = np.array([mixed(own + np.uint64((k + 1) << 40)).min() for k in range(bands * rows)], np.uint64).reshape(bands, rows)
+    key = np.arange(bands, dtype=np.uint64)
+    for r in range(rows):
+        key = mixed(key * np.uint64(0xD1342543DE82EF95) + least[:, r])
+    return key.view(np.int64).tolist()
+
+
 @dataclass
 class Index:
     """Labelled examples as unit vectors of their terms, in blocks; small, by the bounds given to fit()."""
@@ -151,12 +164,13 @@ def held_out(doc_id: str, folds: int = 5):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_terms: int = 1024, min_rows: int = 3, folds: int = 5) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_terms: int = 1024, min_rows: int = 3, least_ratio: float = 4.0, folds: int = 5) -> Index:
     """Learns terms, examples and calibration from labelled rows outside the held-out fold.
 
     per_class bounds the labelled rows of each label that are examples (those with the smallest hashes of their ids), max_terms the
     terms: the index has at most 2 x per_class x max_terms weights at any size of input. min_rows: documents that a term
-    must be in. No label row, or one label only: an index without terms, whose score is the rate of toxic rows, 0 without any.
+    must be in; least_ratio: by how much likelier it must be in texts of one label than in those of the other. Near copies among the examples
+    are one example, so that a passage copied often lends its words no weight. No label row, or one label only: an index without terms, whose score is the rate of toxic rows, 0 without any.
     Null labels and ids are left out; of an id with several labels the largest counts.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out("doc_id", folds)).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -169,9 +183,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_terms: in
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [features(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "terms": [list(x) for x in found], "counts": [list(x.values()) for x in found]})
-
-    rows = written(picked.mapInPandas(count, "doc_id long, toxic int, terms array<string>, counts array<int>"))
+            bands = [families(Counter({w: 1 for w in x if "^" not in w})) for x in found]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "terms": [list(x) for x in found], "counts": [list(x.values()) for x in found], "bands": bands})
+
+    rows = written(picked.mapInPandas(count, "doc_id long, toxic int, terms array<string>, counts array<int>, bands array<long>"))
+    for band in (1, 2, 3):  # of each label and family the first by hash; at most 2 x per_class rows
+        first = F.row_number().over(Window.partitionBy("toxic", F.element_at("bands", band), F.when(F.size("terms") == 0, F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id"))
+        rows = rows.withColumn("nth", first).where("nth = 1").drop("nth")
+    rows = written(rows.drop("bands"))
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n, positive = sum(size.values()), size.get(1, 0)
     in_rows = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("rows"), F.sum("toxic").alias("toxic"))
@@ -180,7 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_terms: in
     level = max(10.0, 2 * math.log(max(2, tested)))  # so that about one term of chance passes
     r = F.col("rows").cast("double")
     chi = n * (F.col("toxic") * float(n) - r * positive) ** 2 / (r * (n - r) * float(positive) * float(n - positive))
-    passed = in_rows.where(r < n).withColumn("chi", chi).where(F.col("chi") >= level).orderBy(F.desc("chi"), "term").limit(max_terms).collect() if 0 < positive < n else []
+    ratio = F.abs(F.log(((F.col("toxic") + 0.5) / (positive + 1.0)) / ((r - F.col("toxic") + 0.5) / (n - positive + 1.0))))
+    passed = in_rows.where(r < n).withColumn("chi", chi).where((F.col("chi") >= level) & (ratio >= math.log(least_ratio))).orderBy(F.desc("chi"), "term").limit(max_terms).collect() if 0 < positive < n else []
     passed = sorted(passed, key=lambda x: x["term"])
     terms = {x["term"]: i for i, x in enumerate(passed)}
     idf = np.array([math.log((1 + n) / (1 + x["rows"])) + 1 for x in passed])
