@@ -21,14 +21,14 @@ from .pairs import components, local_roots, tiles
 class Forest:
     """Trees over unit vectors of one dimension. Nodes are (direction, threshold, left, right) or a leaf's number."""
 
-    def __init__(self, sample: np.ndarray, rows: int, trees: int = 6, leaf: int = 256, least: float = 0.95, seed: int = 11):
+    def __init__(self, sample: np.ndarray, rows: int, trees: int = 6, leaf: int = 512, least: float = 0.95, seed: int = 11):
         """sample: unit vectors; rows: how many the index will hold, which sets the depth; least: the cosine of a link.
 
         A node ends as a leaf when its share of rows is `leaf` at most, when fewer than 8 of the sample are in it, or when its sample is so
         tight that a split would part links; leaves over a tile's size are compared tile by tile, so none is cut short.
         """
         self.dim = sample.shape[1] if len(sample) else 0
-        self.spill = 0.5 * np.sqrt(2 - 2 * least) / np.sqrt(max(1, self.dim))
+        self.spill = 0.25 * np.sqrt(2 - 2 * least) / np.sqrt(max(1, self.dim))
         self.leaves, self.least = 0, least
         draw = np.random.default_rng(seed)
         self.roots = [self._node(sample, rows / max(1, len(sample)), leaf, draw) for _ in range(trees)] if len(sample) else []
@@ -97,7 +97,7 @@ def _tile(least: float):
     return compare
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = 20_000, trees: int = 6, leaf: int = 256) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = 20_000, trees: int = 6, leaf: int = 512) -> DataFrame:
     """vectors (vec_id, embedding; others ignored) to vec_id, n_links, component_id, kept, a row for each row.
 
     Links are pairs found with cosine >= least, in double precision. Vectors that are null, empty, zero or hold null or non-finite
@@ -107,7 +107,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = 20_00
 
     sample bounds the vectors that the trees are fitted on (those of the smallest hashes of ids); every vector is placed in every tree.
     """
-    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"  # floats travel as floats
+    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     whole = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     keyed = base.withColumn("ok", F.coalesce(whole, F.lit(False))).withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(7), "embedding"))
     ids = written(keyed.select("vec_id", "ok", "h1", "h2", F.size("embedding").alias("dim")))
@@ -131,10 +132,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = 20_00
                     own[i] = x
             yield batch[["rep", "n", "embedding"]].assign(leaves=own)
 
-    placed = found.mapInPandas(place, "rep long, n long, embedding array<double>, leaves array<int>")
+    placed = found.mapInPandas(place, f"rep long, n long, embedding {kind}, leaves array<int>")
     placed = written(placed)
     members = placed.withColumn("leaf", F.explode("leaves"))
-    out = written(tiles(members, "leaf", "rep").groupBy("leaf", "__i", "__j").applyInPandas(_tile(least), "rep long, links long, to long"))
+    out = written(tiles(members, "leaf", "rep", 2 * leaf).groupBy("leaf", "__i", "__j").applyInPandas(_tile(least), "rep long, links long, to long"))
     parts = components(out.select(F.col("rep").alias("a"), F.col("to").alias("b")))
     links = out.groupBy("rep").agg(F.sum("links").alias("links"))
     known = reps.select("h1", "h2", "rep", "n").join(links.withColumnRenamed("rep", "r1"), F.col("rep") == F.col("r1"), "left").join(parts, F.col("rep") == F.col("node"), "left")
