@@ -63,35 +63,39 @@ class Chunk:
         self.train = np.repeat(~self.held, np.diff(self.first))
         self.order = 1
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """The n-grams to ask for, and how often the chunk's training texts have them."""
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The n-grams to send, how often the chunk's training texts have them, and its held-out ones.
+
+        An n-gram is sent if its count is not settled by those of its two shorter parts: of training texts, if both are there twice or
+        both are in held-out texts too, which will ask for it; of held-out texts, if both are in training texts. All chunks
+        decide alike, since they go by the corpus's counts.
+        """
         if self.order == 1:
-            self.asked, self.inverse = None, self.places
-            return self.vocabulary, np.bincount(self.places[self.train], minlength=len(self.vocabulary))
-        # what the shorter n-gram's or the context's count settles needs no asking
-        few = np.where(self.train, 2, 1)
-        self.asked = (self.totals[-1] >= few) & (self.context[-1] >= few)
-        keys, self.inverse = np.unique(self.keys[self.asked], return_inverse=True)
-        return keys, np.bincount(self.inverse[self.train[self.asked]], minlength=len(keys))
+            self.asked = np.ones(len(self.keys), bool)
+            keys, self.inverse = self.vocabulary, self.places
+        else:
+            known = np.minimum(self.totals[-1], self.context[-1])
+            self.asked = np.where(self.train, (known >= 2) | self.elsewhere, known >= 1)
+            keys, self.inverse = np.unique(self.keys[self.asked], return_inverse=True)
+        train = self.train[self.asked]
+        return keys, np.bincount(self.inverse[train], minlength=len(keys)), np.bincount(self.inverse[~train], minlength=len(keys))
 
     def answer(self, counts: np.ndarray, train_docs: int) -> None:
-        """Takes the corpus's counts of what distinct() asked for, and goes on to the next order."""
+        """Takes the answers to what distinct() sent (twice the corpus's count, and 1 more if held-out texts have it), and goes on to the next order."""
+        self.distinct()
+        total, held = self.train.astype(np.int64), ~self.train
+        total[self.asked] = counts[self.inverse] >> 1
+        held[self.asked] = counts[self.inverse] & 1
         if self.order == 1:
-            self.distinct()
-            self.totals, self.context = [counts[self.places]], []
-        else:
-            self.distinct()
-            total = self.train.astype(np.int64)
-            total[self.asked] = counts[self.inverse]
-            self.totals.append(total)
-        before = np.concatenate([[0], self.totals[-1][:-1]])
-        before[self.opening] = train_docs
+            self.totals, self.context, self.words = [], [], self.keys
+        self.totals.append(total)
+        before, held_before = np.concatenate([[0], total[:-1]]), np.concatenate([[True], held[:-1]])
+        before[self.opening], held_before[self.opening] = train_docs, True
         self.context.append(before)  # of the next order
-        base = self.vocabulary[self.places] if self.order == 1 else self.words
-        self.words = base
+        self.elsewhere = held & held_before
         previous = np.concatenate([np.zeros(1, np.uint64), self.keys[:-1]])
         previous[self.opening] = _START
-        self.keys = mixed(previous * _ODD + base)
+        self.keys = mixed(previous * _ODD + self.words)
         self.order += 1
 
     def probability(self, model: Model, order: int, deleted: int) -> np.ndarray:
@@ -211,9 +215,9 @@ def _asked(table: DataFrame, answers: list[DataFrame], parts: int, train_docs: i
         for batch in batches:
             names = batch["chunk"].tolist()
             for name, chunk in zip(names, _loaded(iter([batch]), orders, train_docs), strict=True):
-                keys, counts = chunk.distinct()
+                keys, train, held = chunk.distinct()
                 edge = [0, *np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist(), len(keys)] if bits else [0, len(keys)]
-                rows = [(name, b, _pack_sorted(keys[at:to]), _pack(counts[at:to].astype("<i8"))) for b, (at, to) in enumerate(zip(edge, edge[1:], strict=False)) if to > at]
+                rows = [(name, b, _pack_sorted(keys[at:to]), _pack(np.concatenate([train[at:to], held[at:to]]).astype("<i8"))) for b, (at, to) in enumerate(zip(edge, edge[1:], strict=False)) if to > at]
                 yield pd.DataFrame(rows, columns=["chunk", "bucket", "keys", "counts"])
 
     asked = _joined(table, answers).mapInPandas(ask, "chunk long, bucket int, keys binary, counts binary")
@@ -224,10 +228,11 @@ def _asked(table: DataFrame, answers: list[DataFrame], parts: int, train_docs: i
         def close() -> pd.DataFrame:
             keys = [_unpack_sorted(k) for _, k, _ in held]
             found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.zeros(len(found), np.int64)
-            np.add.at(total, inverse, np.concatenate([_unpack(c, "<i8") for _, _, c in held]))
-            edges = np.cumsum([0, *map(len, keys)])
-            rows = [(name, bucket, _pack(total[inverse[at:to]]), None, None, None) for (name, _, _), at, to in zip(held, edges, edges[1:], strict=False)]
+            sent = [_unpack(c, "<i8").reshape(2, -1) for _, _, c in held]
+            total = np.bincount(inverse, np.concatenate([x[0] for x in sent]), len(found)).astype(np.int64)
+            others = np.bincount(inverse, np.concatenate([x[1] for x in sent]), len(found)) > 0
+            edges, both = np.cumsum([0, *map(len, keys)]), total * 2 + others
+            rows = [(name, bucket, _pack(both[inverse[at:to]]), None, None, None) for (name, _, _), at, to in zip(held, edges, edges[1:], strict=False)]
             if not orders:
                 total = total[total > 0]
                 bins = np.floor(np.log2(total) * FINE).astype(np.int64)

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from lexloom.llm import language_model as L
 
@@ -34,46 +35,43 @@ def test_base_and_counts(spark, sf):
     assert sum(r.score for r in out) > sum(r.base_score for r in out) and all(r.score < 0 for r in got)
 
 
-def plain_bigram(rows, weights):
-    """Scores of a bigram model with the given weights, by plain counting."""
-    one, two, first = Counter(), Counter(), 0
+def plain(rows, table, order):
+    """Scores of a model with the given weights, by plain counting."""
+    counts, first = [Counter() for _ in range(order + 1)], 0
+    padded = lambda t: [0] * (order - 1) + tokens(t)
     for i, t in rows:
         if not held(i):
-            w = tokens(t)
-            one.update(w)
-            two.update(zip([0, *w[:-1]], w, strict=True))
-            first += 1
-    n, v = sum(one.values()), len(one)
+            w, first = padded(t), first + 1
+            for k in range(order - 1, len(w)):
+                for n in range(1, order + 1):
+                    counts[n][tuple(w[k - n + 1 : k + 1])] += 1
+    total, words = sum(counts[1].values()), len(counts[1])
 
     def score(t):
-        w, total = tokens(t), 0.0
-        for a, b in zip([0, *w[:-1]], w, strict=True):
-            p = weights[0][0] * one[b] / n + (1 - weights[0][0]) / (v + 1)
-            c = first if a == 0 else one[a]
-            lam = weights[1][0 if c == 0 else math.frexp(c)[1]]
-            total += math.log10(lam * (two[a, b] / c if c else 0) + (1 - lam) * p)
-        return total
+        w, out = padded(t), 0.0
+        for k in range(order - 1, len(w)):
+            p = table[0][0] * counts[1][(w[k],)] / total + (1 - table[0][0]) / (words + 1)
+            for n in range(2, order + 1):
+                context = tuple(w[k - n + 1 : k])
+                c = first if k == order - 1 else counts[n - 1][context]
+                weight = table[n - 1][math.frexp(c)[1] if c else 0]
+                p = weight * (counts[n][(*context, w[k])] / c if c else 0) + (1 - weight) * p
+            out += math.log10(p)
+        return out
 
     return score
 
 
-def test_model_against_plain(spark, sf, monkeypatch):
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_model_against_plain(spark, sf, monkeypatch, order):
     rows = [r for r in rows_of(spark, sf) if r[0] is not None]
-    seen = []
-    real = L.Model
-
-    class Spy(real):
-        def __init__(self, *a):
-            super().__init__(*a)
-            seen.append(self)
-
-    monkeypatch.setattr(L, "Model", Spy)
-    build = lambda *a: (seen.append(real(*a)), seen[-1])[1]
-    monkeypatch.setattr(L, "Model", build)
-    got = L.fit_and_score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), order=2).collect()
-    score = plain_bigram(rows, seen[-1].table)
-    want = sorted((i, round(score(t), 5)) for i, t in rows)
-    assert np.allclose([x for _, x in sorted((r.doc_id, r.score) for r in got)], [x for _, x in want], atol=1e-4)
+    seen, real = [], L.Model
+    monkeypatch.setattr(L, "Model", lambda *a: (seen.append(real(*a)), seen[-1])[1])
+    got = L.fit_and_score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), order=order).collect()
+    score = plain(rows, seen[-1].table, order)
+    want = sorted((i, score(t)) for i, t in rows)
+    have = sorted((r.doc_id, r.score) for r in got)
+    assert [i for i, _ in have] == [i for i, _ in want] and np.allclose([x for _, x in have], [x for _, x in want], atol=1e-6)
 
 
 def test_weights_rise_with_evidence():
