@@ -96,6 +96,7 @@ class Chunk:
         previous = np.concatenate([np.zeros(1, np.uint64), self.keys[:-1]])
         previous[self.opening] = _START
         self.keys = mixed(previous * _ODD + self.words)
+        self.inverse = self.asked = None  # as large as the chunk, and of no more use
         self.order += 1
 
     def probability(self, model: Model, order: int, deleted: int) -> np.ndarray:
@@ -148,7 +149,7 @@ _RATIOS = np.concatenate([[0.0], 2.0 ** ((np.arange(1, BINS) - MIDDLE * FINE) /
 _CHUNK = "chunk long, ids binary, held binary, first binary, vocabulary binary, places binary, train_docs long"
 
 
-def chunks(docs: DataFrame, folds: int, tokens: int = 2_000_000) -> tuple[DataFrame, int]:
+def chunks(docs: DataFrame, folds: int, tokens: int = 1_000_000) -> tuple[DataFrame, int]:
     """Texts as chunks of about `tokens` tokens, in a table bucketed by chunk, so that answers can join it without moving it."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,6 +205,7 @@ def _loaded(batches: Iterator[pd.DataFrame], orders: int, train_docs: int) -> It
             for n in range(1, orders + 1):
                 chunk.answer(np.concatenate([_unpack(x["counts"], "<i8") for x in getattr(row, f"a{n}")] or [np.zeros(0, np.int64)]), train_docs)
             yield chunk
+            del chunk  # before the next one is unpacked
 
 
 def _asked(table: DataFrame, answers: list[DataFrame], parts: int, train_docs: int) -> DataFrame:
