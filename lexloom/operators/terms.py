@@ -19,6 +19,21 @@ def tokens(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     return each.withColumn("word", T.normalized(F.col("surface")))
 
 
+def located_tokens(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """F-01: id, pos, surface, offset of each word token; offsets are 0-based code points.
+
+    A text is cut into runs and the gaps before them, and a running sum over its own rows places each run: linear in the text's
+    length, where T.tokens() builds one array. Ids tell rows apart.
+    """
+    c = F.coalesce(F.col(text), F.lit(""))
+    runs, gaps = F.regexp_extract_all(c, F.lit(f"({T.WORD['java']})"), F.lit(1)), F.split(c, T.WORD["java"], -1)
+    each = docs.select(F.col(id_column).alias("id"), F.posexplode(F.arrays_zip(runs.alias("run"), F.slice(gaps, F.lit(1), F.size(runs)).alias("gap"))).alias("k", "z"))
+    own = Window.partitionBy("id").orderBy("k")
+    placed = each.select("id", "k", F.col("z.run").alias("surface"), (F.sum(F.char_length("z.gap") + F.char_length("z.run")).over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.char_length("z.run")).alias("offset"))
+    kept = placed.where(F.col("surface").rlike(T.LATIN["java"]))
+    return kept.select("id", (F.row_number().over(own) - 1).alias("pos"), "surface", "offset")
+
+
 def corpus_lexicon(docs: DataFrame, floor: float = 0.0, text: str = "text") -> DataFrame:
     """word, n, probability (0 under the floor: censored): what a corpus knows of its words."""
     counts = docs.select(F.explode(T.words(F.col(text))).alias("surface")).groupBy("surface").agg(F.count("*").alias("n"))
@@ -68,26 +83,26 @@ def unknown_words(docs: DataFrame, known: DataFrame, id_column: str = "doc_id",
     return marked.groupBy("id").agg(F.sum(F.col("__k").isNull().cast("long")).alias("unknown"), F.count("*").alias("words"))
 
 
-def domain_hits(text: Column, lexicons: dict[str, str] = S.DOMAINS) -> Column:
-    """Struct of the number of content words and, by domain, of those in its lexicon."""
-    content = F.filter(F.transform(T.words(text), T.normalized), T.is_content)
-
-    def among(words: str) -> Column:
-        return F.size(F.filter(content, lambda w: w.isin(*dict.fromkeys(words.lower().split()))))
-
-    return F.struct(F.size(content).alias("words"), *[among(words).alias(name) for name, words in lexicons.items()])
+def domain_hits(docs: DataFrame, lexicons: dict[str, str] = S.DOMAINS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, words and, by domain, how many of a text's content words are in its lexicon; texts without any have zeros."""
+    content = tokens(docs, id_column, text).where(T.is_content(F.col("word")))
+    among = [F.count_if(F.col("word").isin(*dict.fromkeys(w.lower().split()))).alias(name) for name, w in lexicons.items()]
+    hits = content.groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("words"), *among)
+    names = ["words", *lexicons]
+    return docs.select(F.col(id_column).alias("id")).join(hits, F.col("id") == F.col("__id"), "left").select("id", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
 
 
-def domains(text: Column, lexicons: dict[str, str] = S.DOMAINS) -> Column:
-    """E-05: the domains that at least 15 % of the content words belong to, in the lexicons' order."""
-    hits = domain_hits(text, lexicons)
-    names = F.array(*[F.when((hits["words"] > 0) & (hits[name] / hits["words"] >= DOMAIN_SHARE), F.lit(name)) for name in lexicons])
+def domains(lexicons: dict[str, str] = S.DOMAINS) -> Column:
+    """E-05 on the columns of domain_hits(): the domains that at least 15 % of the content words belong to, in the lexicons' order."""
+    names = F.array(*[F.when((F.col("words") > 0) & (F.try_divide(F.col(name), F.col("words")) >= DOMAIN_SHARE), F.lit(name)) for name in lexicons])
     return F.filter(names, lambda n: n.isNotNull())
 
 
 def should_fire(docs: DataFrame, known: DataFrame, id_column: str = "doc_id", text: str = "text", lexicons: dict[str, str] = S.DOMAINS) -> DataFrame:
     """C-20: id, fires: English enough, and over a tenth of the words unknown or any domain found."""
-    unknown = unknown_words(docs, known, id_column, text)
-    joined = docs.join(unknown.withColumnRenamed("id", "__id"), F.col(id_column) == F.col("__id"), "left")
+    unknown = unknown_words(docs, known, id_column, text).withColumnRenamed("id", "__id")
+    found = domain_hits(docs, lexicons, id_column, text).select(F.col("id").alias("__d"), (F.size(domains(lexicons)) > 0).alias("special"))
+    heavy = docs.select(F.col(id_column).alias("id"), T.is_english_heavy(F.col(text)).alias("heavy"))
+    joined = heavy.join(unknown, F.col("id") == F.col("__id"), "left").join(found, F.col("id") == F.col("__d"))
     share = F.coalesce(F.col("unknown") / F.col("words"), F.lit(0.0))
-    return joined.select(F.col(id_column).alias("id"), (T.is_english_heavy(F.col(text)) & ((share > UNKNOWN_SHARE) | (F.size(domains(F.col(text), lexicons)) > 0))).alias("fires"))
+    return joined.select("id", (F.col("heavy") & ((share > UNKNOWN_SHARE) | F.col("special"))).alias("fires"))

@@ -64,7 +64,7 @@ LEX = f"lex AS (SELECT word, n, CASE WHEN n / total >= {FLOOR} THEN n / total EL
 
 
 def f01(spark, sf):
-    return both(spark, sf).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("t")).select("doc_id", "t.pos", "t.surface", "t.offset")
+    return terms.located_tokens(both(spark, sf)).withColumnRenamed("id", "doc_id")
 
 
 # offsets: each run is sought from the end of the one before
@@ -124,9 +124,8 @@ E04 = f"WITH {LEX}, {tok_sql('benchmark', 'item_id')} SELECT id, count(*) FILTER
 
 
 def e05(spark, sf):
-    hits = terms.domain_hits(F.col("text"))
-    docs = both(spark, sf).withColumn("h", hits)
-    return docs.select("doc_id", "h.*", F.concat_ws(",", terms.domains(F.col("text"))).alias("domains"))
+    hits = terms.domain_hits(both(spark, sf)).withColumnRenamed("id", "doc_id")
+    return hits.withColumn("domains", F.concat_ws(",", terms.domains()))
 
 
 def _e05() -> str:
