@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, _remove, mixed, read, rounds, shared_folder, slices, written
+from .common import Words, _remove, mixed, read, rounds, shared_folder, slices
 
 _ODD, _END, _START = np.uint64(0xD1342543DE82EF95), np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Frequencies of contexts by powers of two; steps of an octave in which ratios of estimates are told apart, and their middle.
@@ -188,14 +188,29 @@ def chunks(docs: DataFrame, folds: int, tokens: int = 1_000_000) -> tuple[DataFr
         if ids:
             yield flush()
 
-    spark, n = docs.sparkSession, slices(docs)
-    name = f"lexloom_{uuid.uuid4().hex}"
+    n = slices(docs)
+    return _by_chunk(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(build, _CHUNK), n), n
+
+
+def _by_chunk(rows: DataFrame, parts: int) -> DataFrame:
+    """Writes rows as a table bucketed by chunk: tables so written join on it without a shuffle."""
+    spark, name = rows.sparkSession, f"lexloom_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(build, _CHUNK)
-    made.write.bucketBy(n, "chunk").option("path", path).saveAsTable(name)
-    table = spark.table(name)
+    rows.write.bucketBy(parts, "chunk").option("path", path).saveAsTable(name)
     atexit.register(_remove, spark, path)
-    return table, n
+    return spark.table(name)
+
+
+def _trim() -> None:
+    """Gives freed memory back to the system; a worker lives on for later tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def _loaded(batches: Iterator[pd.DataFrame], orders: int, train_docs: int) -> Iterator[Chunk]:
@@ -206,6 +221,7 @@ def _loaded(batches: Iterator[pd.DataFrame], orders: int, train_docs: int) -> It
                 chunk.answer(np.concatenate([_unpack(x["counts"], "<i8") for x in getattr(row, f"a{n}")] or [np.zeros(0, np.int64)]), train_docs)
             yield chunk
             del chunk  # before the next one is unpacked
+            _trim()
 
 
 def _asked(table: DataFrame, answers: list[DataFrame], parts: int, train_docs: int) -> DataFrame:
@@ -241,6 +257,7 @@ def _asked(table: DataFrame, answers: list[DataFrame], parts: int, train_docs: i
                 at, first, n = np.unique(bins, return_index=True, return_counts=True)
                 rows.append((-1, bucket, None, at.tolist(), n.tolist(), np.bincount(bins, weights=total)[at].astype(np.int64).tolist()))
             held.clear()
+            _trim()
             return pd.DataFrame(rows, columns=["chunk", "bucket", "counts", "bins", "words", "tokens"])
 
         bucket = None
@@ -254,14 +271,17 @@ def _asked(table: DataFrame, answers: list[DataFrame], parts: int, train_docs: i
             yield close()
 
     dealt = asked.repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk")
-    return written(dealt.mapInPandas(count, "chunk long, bucket int, counts binary, bins array<long>, words array<long>, tokens array<long>"))
+    out = dealt.mapInPandas(count, "chunk long, bucket int, counts binary, bins array<long>, words array<long>, tokens array<long>")
+    per = out.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts"))).alias("answers"), F.flatten(F.collect_list(F.arrays_zip("bins", "words", "tokens"))).alias("seen"))
+    return _by_chunk(per, parts)
 
 
 def _joined(table: DataFrame, answers: list[DataFrame]) -> DataFrame:
+    """The chunks with their answers of each order; both sides are bucketed, so nothing moves."""
     out = table
     for n, a in enumerate(answers, 1):
-        per = a.where("chunk >= 0").groupBy(F.col("chunk").alias(f"c{n}")).agg(F.sort_array(F.collect_list(F.struct("bucket", "counts"))).alias(f"a{n}"))
-        out = out.join(per.hint("merge"), F.col("chunk") == F.col(f"c{n}"), "left").drop(f"c{n}").withColumn(f"a{n}", F.coalesce(f"a{n}", F.expr("cast(array() as array<struct<bucket:int,counts:binary>>)")))
+        own = a.where("chunk >= 0").select(F.col("chunk").alias(f"c{n}"), F.col("answers").alias(f"a{n}"))
+        out = out.join(own.hint("merge"), F.col("chunk") == F.col(f"c{n}"), "left").drop(f"c{n}").withColumn(f"a{n}", F.coalesce(f"a{n}", F.expr("cast(array() as array<struct<bucket:int,counts:binary>>)")))
     return out
 
 
@@ -275,7 +295,7 @@ def fit_and_score(docs: DataFrame, order: int = 3, folds: int = 10) -> DataFrame
     table, parts = chunks(docs, folds)
     train_docs = int(table.agg(F.sum("train_docs")).first()[0] or 0)
     answers = [_asked(table, [], parts, train_docs)]
-    zipped = answers[0].where("chunk < 0").select(F.explode(F.arrays_zip("bins", "words", "tokens")).alias("s"))
+    zipped = answers[0].where("chunk < 0").select(F.explode("seen").alias("s"))
     seen = zipped.groupBy("s.bins").agg(F.sum("s.words").alias("words"), F.sum("s.tokens").alias("tokens")).collect()
     tokens, words = sum(r["tokens"] for r in seen), sum(r["words"] for r in seen)
     ratios = np.array([[max(0.0, r["tokens"] / r["words"] - 1) / max(1, tokens - 1) * (words + 1) for r in seen] or [0.0]])
