@@ -1,12 +1,13 @@
 """Near-duplicate vectors by a forest of random-projection trees with spill.
 
 A tree splits a node by a random direction at a random middle quantile of a sample. Vectors close to the threshold go to both sides. Trees of
-different directions separate a close pair independently, so few trees miss few pairs. Pairs are compared exactly within
+different directions separate a close pair independently, so few trees miss few pairs; a group in which any split would part links is not split. Pairs are compared exactly within
 leaves; the links found are joined into components.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,30 +19,60 @@ from .common import read, written
 from .pairs import components, local_roots, tiles
 
 
+#: The normal distribution function at _AT.
+_AT = np.linspace(-8, 8, 3201)
+_BELOW = np.array([0.5 + 0.5 * math.erf(x / math.sqrt(2)) for x in _AT])
+
+
 class Forest:
-    """Trees over unit vectors of one dimension. Nodes are (direction, threshold, left, right) or a leaf's number."""
+    """Trees over unit vectors of one dimension. Nodes are (direction, threshold, left, right), a leaf's number, or None where earlier trees suffice."""
 
-    def __init__(self, sample: np.ndarray, rows: int, trees: int = 6, leaf: int = 512, least: float = 0.95, seed: int = 11):
+    def __init__(self, sample: np.ndarray, rows: int, trees: int = 24, leaf: int = 512, least: float = 0.95, seed: int = 11, floor: float = 0.6, missed: float = 1e-4, ways: int = 4):
         """sample: unit vectors; rows: how many the index will hold, which sets the depth; least: the cosine of a link.
 
-        A node ends as a leaf when its share of rows is `leaf` at most, when fewer than 8 of the sample are in it, or when its sample is so
-        tight that a split would part links; leaves over a tile's size are compared tile by tile, so none is cut short.
+        Of each sampled vector the forest reckons how likely a neighbour at the cosine `least`, in any direction, is still beside it. A node is not split
+        where that would fall under `floor` on average: in a group as dense as the spill is wide every split parts links, so the group is one leaf.
+        A node also ends as a leaf when its share of rows is `leaf` at most, when fewer than 8 of the sample are in it, or when its sample is so
+        tight that a split would part links; leaves over a tile's size are compared tile by tile, so none is cut short. Trees are added, `trees` at
+        most, until such a neighbour is missed by all of them with probability `missed` at most; a part of the space that is there sooner has no leaf in later trees.
         """
         self.dim = sample.shape[1] if len(sample) else 0
-        self.spill = 0.25 * np.sqrt(2 - 2 * least) / np.sqrt(max(1, self.dim))
-        self.leaves, self.least = 0, least
+        self.near = np.sqrt(2 - 2 * least) / np.sqrt(max(1, self.dim))  # deviation of a link's length along a random direction
+        self.spill = 0.25 * self.near
+        self.leaves, self.least, self.floor, self.goal, self.ways = 0, least, floor, missed, ways
         draw = np.random.default_rng(seed)
-        self.roots = [self._node(sample, rows / max(1, len(sample)), leaf, draw) for _ in range(trees)] if len(sample) else []
-
-    def _node(self, part: np.ndarray, each: float, leaf: int, draw: np.random.Generator):
-        if len(part) * each > leaf and len(part) >= 8 and np.linalg.norm(part.mean(axis=0)) < np.sqrt(self.least):
-            way = draw.standard_normal(self.dim)
-            way /= np.linalg.norm(way)
-            at = part @ way
-            cut = float(np.quantile(at, draw.uniform(0.4, 0.6)))
-            left, right = part[at < cut + self.spill], part[at > cut - self.spill]
-            if max(len(left), len(right)) < len(part):
-                return way, cut, self._node(left, each, leaf, draw), self._node(right, each, leaf, draw)
+        self.roots: list = []
+        open_ = np.ones(len(sample))  # how likely each vector's neighbour is missed so far
+        while len(sample) and len(self.roots) < trees and open_.mean() > missed:
+            kept = np.zeros(len(sample))
+            self.roots.append(self._node(sample, np.arange(len(sample)), np.ones(len(sample)), open_, kept, rows / len(sample), leaf, draw))
+            open_ = open_ * (1 - kept)
+        self.missed = float(open_.mean()) if len(sample) else 0.0
+
+    def _node(self, sample: np.ndarray, rows: np.ndarray, beside: np.ndarray, open_: np.ndarray, kept: np.ndarray, each: float, leaf: int, draw: np.random.Generator):
+        """rows: the node's part of the sample; beside: how likely a neighbour of each has come here with it."""
+        if open_[rows].mean() <= self.goal:
+            return None
+        part, best = sample[rows], None
+        if len(rows) * each > leaf and len(rows) >= 8 and np.linalg.norm(part.mean(axis=0)) < np.sqrt(self.least):
+            for _ in range(self.ways):
+                way = draw.standard_normal(self.dim)
+                way /= np.linalg.norm(way)
+                at = part @ way
+                cut = float(np.quantile(at, draw.uniform(0.4, 0.6)))
+                gap = at - cut
+                left, right = gap < self.spill, gap > -self.spill
+                larger = max(left.sum(), right.sum()) / len(rows)
+                if larger == 1:
+                    continue
+                after = beside * np.where(left & right, 1.0, np.interp((np.abs(gap) + self.spill) / self.near, _AT, _BELOW))
+                price = np.log(beside.mean() / after.mean()) / -np.log(larger)
+                if min(after[left].mean(), after[right].mean()) >= self.floor and (best is None or price < best[0]):
+                    best = price, way, cut, left, right, after
+        if best is not None:
+            _, way, cut, left, right, after = best
+            return way, cut, *(self._node(sample, rows[x], after[x], open_, kept, each, leaf, draw) for x in (left, right))
+        kept[rows] = np.maximum(kept[rows], beside)
         self.leaves += 1
         return self.leaves - 1
 
@@ -50,7 +81,7 @@ class Forest:
         out: list[list[int]] = [[] for _ in range(len(vectors))]
 
         def down(node, rows: np.ndarray) -> None:
-            if not len(rows):
+            if not len(rows) or node is None:
                 return
             if isinstance(node, int):
                 for r in rows.tolist():
@@ -97,7 +128,7 @@ def _tile(least: float):
     return compare
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = 20_000, trees: int = 6, leaf: int = 512) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = 20_000, trees: int = 24, leaf: int = 512) -> DataFrame:
     """vectors (vec_id, embedding; others ignored) to vec_id, n_links, component_id, kept, a row for each row.
 
     Links are pairs found with cosine >= least, in double precision. Vectors that are null, empty, zero or hold null or non-finite

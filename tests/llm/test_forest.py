@@ -30,3 +30,16 @@ def test_recall_and_precision(spark):
 def test_empty(spark):
     assert forest.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert forest.near_duplicates(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).first().component_id == 1
+
+
+def test_loose_group_keeps_its_links():
+    """A third of the vectors in a group of mean cosine 0.9, at a depth for 200,000 rows."""
+    draw = np.random.default_rng(0)
+    x = draw.standard_normal((9000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:3000] = np.sqrt(0.9) * x[-1] + np.sqrt(0.1) * x[:3000]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(x[:3000] @ x[:3000].T >= 0.95, 1))
+    assert len(a) > 100
+    leaves = [set(v) for v in forest.Forest(x, 200_000).place(x)]
+    assert all(leaves) and np.mean([bool(leaves[i] & leaves[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)]) >= 0.98
