@@ -164,37 +164,84 @@ def held_out(doc_id: str, folds: int = 5):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_terms: int = 1024, min_rows: int = 3, least_ratio: float = 4.0, folds: int = 5) -> Index:
+def examples(docs: DataFrame, known: DataFrame, per_class: int) -> DataFrame:
+    """doc_id, toxic, text of the per_class rows of each label with the smallest hashes of their ids, near copies once."""
+    chosen = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")  # at most 2 x per_class ids
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [Counter(_LETTERS.findall((t or "").lower())) for t in batch["text"]]
+            yield batch[["doc_id", "toxic", "text"]].assign(bands=[families(x) for x in found], bare=[not x for x in found])
+
+    rows = written(picked.mapInPandas(mark, "doc_id long, toxic int, text string, bands array<long>, bare boolean"))
+    for band in (1, 2, 3):  # of each label and family the first by hash; at most 2 x per_class rows
+        first = F.row_number().over(Window.partitionBy("toxic", F.element_at("bands", band), F.when(F.col("bare"), F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id"))
+        rows = rows.withColumn("nth", first).where("nth = 1").drop("nth")
+    return rows.drop("bands", "bare")
+
+
+def likely(docs: DataFrame, known: DataFrame, ids: int, most: int = 1 << 26) -> DataFrame:
+    """The rows of docs whose id is in known, and some others, so that few texts are shuffled by a join that follows. A bitmap of hashed ids, 8 MB at most, decides; a full one only lets more pass."""
+    bits = min(most, max(1 << 15, 8 * ids))
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
+    marks = known.groupBy(F.bitmap_bucket_number(place + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits")).collect()
+    packed = np.zeros((max((r["bucket"] for r in marks), default=1), 4096), np.uint8)  # buckets count from 1
+    for r in marks:
+        packed[r["bucket"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    packed = np.resize(np.append(packed.ravel(), np.zeros(-(-bits // 8), np.uint8)), max(packed.size, -(-bits // 8)))
+
+    @F.pandas_udf("boolean")
+    def marked(at: pd.Series) -> pd.Series:
+        at = at.to_numpy(np.int64)
+        return pd.Series((packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return docs.where(marked(place))
+
+
+def term_rows(labelled: DataFrame, most: int = 1 << 18) -> DataFrame:
+    """term, rows, toxic: of how many labelled rows, and toxic ones, each feature is; the term '' is in all. Counted in each task, `most` terms at a time, before the shuffle."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: tuple[Counter, Counter] = Counter(), Counter()
+
+        def counted() -> Iterator[pd.DataFrame]:
+            every = seen[0] + seen[1]
+            terms = list(every)
+            for a in range(0, len(terms), 1 << 14):
+                own = terms[a : a + (1 << 14)]
+                yield pd.DataFrame({"term": pd.Series(own, dtype=object), "rows": [every[t] for t in own], "toxic": [seen[1][t] for t in own]})
+            for x in seen:
+                x.clear()
+
+        for batch in batches:
+            for text, y in zip(batch["text"], batch["toxic"], strict=True):
+                seen[y].update(("", *features(text)))
+                if len(seen[0]) + len(seen[1]) >= most:
+                    yield from counted()
+        yield from counted()
+
+    return labelled.mapInPandas(count, "term string, rows long, toxic long").groupBy("term").agg(F.sum("rows").alias("rows"), F.sum("toxic").alias("toxic"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_terms: int = 1024, min_rows: int = 3, least_ratio: float = 4.0, folds: int = 5) -> Index:
     """Learns terms, examples and calibration from labelled rows outside the held-out fold.
 
-    per_class bounds the labelled rows of each label that are examples (those with the smallest hashes of their ids), max_terms the
-    terms: the index has at most 2 x per_class x max_terms weights at any size of input. min_rows: documents that a term
-    must be in; least_ratio: by how much likelier it must be in texts of one label than in those of the other. Near copies among the examples
-    are one example, so that a passage copied often lends its words no weight. No label row, or one label only: an index without terms, whose score is the rate of toxic rows, 0 without any.
+    Terms, their weights (IDF) and chi-square come from all those rows. per_class bounds the rows of each label that are examples (those with the
+    smallest hashes of their ids), max_terms the terms: the index has at most 2 x per_class x max_terms weights at any size of input. min_rows: documents
+    that a term must be in; least_ratio: by how much likelier it must be in texts of one label than in those of the other. Near copies among the examples
+    are one example. No label row, or one label only: an index without terms, whose score is the rate of toxic rows, 0 without any.
     Null labels and ids are left out; of an id with several labels the largest counts.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out("doc_id", folds)).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     known = written(known)
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    chosen = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    chosen = chosen[0].unionByName(chosen[1])
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 x per_class ids
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [features(t) for t in batch["text"]]
-            bands = [families(Counter({w: 1 for w in x if "^" not in w})) for x in found]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "terms": [list(x) for x in found], "counts": [list(x.values()) for x in found], "bands": bands})
-
-    rows = written(picked.mapInPandas(count, "doc_id long, toxic int, terms array<string>, counts array<int>, bands array<long>"))
-    for band in (1, 2, 3):  # of each label and family the first by hash; at most 2 x per_class rows
-        first = F.row_number().over(Window.partitionBy("toxic", F.element_at("bands", band), F.when(F.size("terms") == 0, F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id"))
-        rows = rows.withColumn("nth", first).where("nth = 1").drop("nth")
-    rows = written(rows.drop("bands"))
+    rows = written(examples(docs, known, per_class))
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n, positive = sum(size.values()), size.get(1, 0)
-    in_rows = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("rows"), F.sum("toxic").alias("toxic"))
-    in_rows = written(in_rows.where(F.col("rows") >= min_rows))
+    in_rows = term_rows(likely(docs.select("doc_id", "text"), known, sum(totals.values())).join(known, "doc_id").select("text", "toxic"))
+    in_rows = written(in_rows.where((F.col("rows") >= min_rows) | (F.col("term") == "")))
+    n, positive = next(((r["rows"], r["toxic"]) for r in in_rows.where("term = ''").collect()), (0, 0))
+    in_rows = in_rows.where("term <> ''")
     tested = in_rows.count()
     level = max(10.0, 2 * math.log(max(2, tested)))  # so that about one term of chance passes
     r = F.col("rows").cast("double")
@@ -208,11 +255,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_terms: in
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            own = [[(terms[t], c) for t, c in zip(ts, cs, strict=True) if t in terms] for ts, cs in zip(batch["terms"], batch["counts"], strict=True)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "at": [[a for a, _ in x] for x in own], "n": [[b for _, b in x] for x in own]})
+            own = [index.counts(t) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "at": [list(x) for x in own], "n": [list(x.values()) for x in own]})
 
-    examples = rows.mapInPandas(keep, "doc_id long, toxic int, at array<int>, n array<int>").collect()
-    made = [(tuple(sorted(zip(x["at"], x["n"], strict=True))), x["doc_id"], x["toxic"]) for x in examples]
+    found = rows.mapInPandas(keep, "doc_id long, toxic int, at array<int>, n array<int>").collect()
+    made = [(tuple(sorted(zip(x["at"], x["n"], strict=True))), x["doc_id"], x["toxic"]) for x in found]
     share = {y: totals.get(y, 0) / size[y] for y in size}
     bare = [(share[y], y) for v, _, y in made if not v]
     made = sorted(x for x in made if x[0])

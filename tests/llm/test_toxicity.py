@@ -57,3 +57,23 @@ def test_without_labels(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), none)).count() == 0
     x, y = toxicity.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]), np.ones(4))
     assert y.tolist() == [0, 0, 0.5, 0.5, 1, 1] and x.tolist() == [1, 1, 2, 3, 4, 4]
+
+
+def test_terms_come_from_all_labelled_rows(spark):
+    """A word of 1 toxic row in 20, far too rare for the few examples, is a term by the other rows."""
+    draw = random.Random(3)
+    rows = [(i, " ".join(draw.choice("abcdefghij") * 3 for _ in range(20)) + (" grumble" if i % 3 == 0 else "") + (" zounds" if i % 60 == 0 else "")) for i in range(3000)]
+    index = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int"), per_class=40)
+    assert {"grumble", "zounds"} <= set(index.terms) and len(index.ids) <= 80
+    with_it = sum(not toxicity.zlib.crc32(str(i).encode()) % 5 == 0 for i in range(0, 3000, 60))
+    of_all = sum(not toxicity.zlib.crc32(str(i).encode()) % 5 == 0 for i in range(3000))
+    assert abs(index.idf[index.terms["zounds"]] - (np.log((1 + of_all) / (1 + with_it)) + 1)) < 1e-9
+
+
+def test_likely_loses_no_row(spark):
+    known = spark.range(0, 90_000, 7).withColumnRenamed("id", "doc_id")
+    docs = spark.range(100_000).selectExpr("id as doc_id", "'x' as text").unionByName(spark.sql("select cast(null as long) as doc_id, 'y' as text"))
+    got = {r.doc_id for r in toxicity.likely(docs, known, known.count()).collect()}
+    assert set(range(0, 90_000, 7)) <= got and len(got) < 40_000
+    assert toxicity.likely(docs, known.limit(0), 0).count() == 0
+    assert set(range(0, 90_000, 7)) <= {r.doc_id for r in toxicity.likely(docs, known, known.count(), most=1 << 10).collect()}
