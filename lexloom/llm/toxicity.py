@@ -18,10 +18,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, read, written
+from .common import mixed, read, window_hashes, written
+from .language_model import _trim
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are features beside whole words.
@@ -39,11 +40,17 @@ def features(text: str | None) -> Counter:
     return out
 
 
-def families(words: Counter, bands: int = 3, rows: int = 3) -> list[int]:
-    """Bands of MinHash values of a text's words: near copies share most of them, other texts hardly any."""
-    if not words:
-        return [0] * bands
-    own = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint64, len(words))
+def shingles(text: str | None, width: int = 5) -> np.ndarray:
+    """64 bits of each run of `width` words, each once; a shorter text is one run."""
+    words = _LETTERS.findall((text or "").lower())
+    own = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    return np.unique(window_hashes(mixed(own + np.uint64(1)), min(width, len(words)))) if words else own
+
+
+def families(own: np.ndarray, bands: int = 10, rows: int = 3) -> list[int]:
+    """Bands of MinHash values of a text's shingles: near copies (0.8) share one with probability 0.999. None without shingles."""
+    if not len(own):
+        return []
     least = np.array([mixed(own + np.uint64((k + 1) << 40)).min() for k in range(bands * rows)], np.uint64).reshape(bands, rows)
     key = np.arange(bands, dtype=np.uint64)
     for r in range(rows):
@@ -135,7 +142,7 @@ class Index:
         at, weight = self.vector(self.counts(text))
         known, key = self._index()["known"], (at.tobytes(), weight.tobytes())
         if key not in known:
-            if len(known) > 50_000:
+            if len(known) > 4_000:
                 known.clear()
             i, cosine = self.nearest(at, weight) if len(at) else (np.zeros(0, np.int64), np.zeros(0))
             raw = self.vote(i, cosine) if len(i) else self.empty_rate
@@ -164,21 +171,44 @@ def held_out(doc_id: str, folds: int = 5):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def examples(docs: DataFrame, known: DataFrame, per_class: int) -> DataFrame:
-    """doc_id, toxic, text of the per_class rows of each label with the smallest hashes of their ids, near copies once."""
-    chosen = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")  # at most 2 x per_class ids
+def without_copies(rows: DataFrame, least: float = 0.8) -> DataFrame:
+    """rows (doc_id, toxic, text, _h, _tx) without near copies: of each label, a row whose shingles are like those of an earlier row (by _h) goes.
+
+    A row is compared on whole sets with the first row of each of its bands, so work is in proportion to the rows; rows that only share vocabulary stay.
+    """
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [Counter(_LETTERS.findall((t or "").lower())) for t in batch["text"]]
-            yield batch[["doc_id", "toxic", "text"]].assign(bands=[families(x) for x in found], bare=[not x for x in found])
-
-    rows = written(picked.mapInPandas(mark, "doc_id long, toxic int, text string, bands array<long>, bare boolean"))
-    for band in (1, 2, 3):  # of each label and family the first by hash; at most 2 x per_class rows
-        first = F.row_number().over(Window.partitionBy("toxic", F.element_at("bands", band), F.when(F.col("bare"), F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id"))
-        rows = rows.withColumn("nth", first).where("nth = 1").drop("nth")
-    return rows.drop("bands", "bare")
+            own = [shingles(t) for t in batch["text"]]
+            yield batch[["doc_id", "toxic", "_h", "_tx"]].assign(bands=[families(x) for x in own], own=[x.view(np.int64) for x in own])
+            del batch, own
+            _trim()
+
+    key = F.struct("_h", "doc_id", "_tx")
+    marked = written(rows.mapInPandas(mark, "doc_id long, toxic int, _h long, _tx long, bands array<long>, own array<long>").withColumn("key", key))
+    each = marked.select("key", "toxic", F.explode("bands").alias("band"))
+    first = each.groupBy("toxic", "band").agg(F.min("key").alias("first"))
+    pairs = each.join(first, ["toxic", "band"]).where(F.col("first") < F.col("key")).select("key", "first").distinct()
+    pairs = pairs.join(marked.select("key", "own"), "key").join(marked.select(F.col("key").alias("first"), F.col("own").alias("other")), "first")
+    common = F.size(F.array_intersect("own", "other"))
+    copies = pairs.where(common >= least * (F.size("own") + F.size("other") - common)).select("key.doc_id", "key._tx").distinct()
+    return rows.join(copies, ["doc_id", "_tx"], "left_anti")
+
+
+def examples(docs: DataFrame, known: DataFrame, totals: dict[int, int], per_class: int) -> DataFrame:
+    """doc_id, toxic, text: of each label the per_class rows with the smallest hashes of their ids that are no near copies, or all there are."""
+    take = 2 * per_class
+    while True:
+        chosen = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(take) for y in (0, 1)]
+        chosen = chosen[0].unionByName(chosen[1])
+        picked = docs.select("doc_id", "text").join(F.broadcast(chosen) if take == 2 * per_class else chosen, "doc_id")
+        rows = written(picked.withColumns({"_h": F.xxhash64("doc_id"), "_tx": F.xxhash64("text")}).dropDuplicates(["doc_id", "_tx"]).select("doc_id", "toxic", "text", "_h", "_tx"))
+        rows = written(without_copies(rows))
+        left = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+        if all(left.get(y, 0) >= per_class or totals.get(y, 0) <= take for y in (0, 1)):
+            one = [rows.where(F.col("toxic") == y).orderBy("_h", "doc_id", "_tx").limit(per_class).select("doc_id", "toxic", "text") for y in (0, 1)]
+            return one[0].unionByName(one[1])
+        take *= 2  # copies took places
 
 
 def likely(docs: DataFrame, known: DataFrame, ids: int, most: int = 1 << 26) -> DataFrame:
@@ -199,7 +229,7 @@ def likely(docs: DataFrame, known: DataFrame, ids: int, most: int = 1 << 26) ->
     return docs.where(marked(place))
 
 
-def term_rows(labelled: DataFrame, most: int = 1 << 18) -> DataFrame:
+def term_rows(labelled: DataFrame, most: int = 1 << 17) -> DataFrame:
     """term, rows, toxic: of how many labelled rows, and toxic ones, each feature is; the term '' is in all. Counted in each task, `most` terms at a time, before the shuffle."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,6 +243,8 @@ def term_rows(labelled: DataFrame, most: int = 1 << 18) -> DataFrame:
                 yield pd.DataFrame({"term": pd.Series(own, dtype=object), "rows": [every[t] for t in own], "toxic": [seen[1][t] for t in own]})
             for x in seen:
                 x.clear()
+            del every, terms
+            _trim()
 
         for batch in batches:
             for text, y in zip(batch["text"], batch["toxic"], strict=True):
@@ -236,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_terms: in
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out("doc_id", folds)).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     known = written(known)
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    rows = written(examples(docs, known, per_class))
+    rows = written(examples(docs, known, totals, per_class))
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     in_rows = term_rows(likely(docs.select("doc_id", "text"), known, sum(totals.values())).join(known, "doc_id").select("text", "toxic"))
     in_rows = written(in_rows.where((F.col("rows") >= min_rows) | (F.col("term") == "")))
@@ -302,7 +334,9 @@ def clean(docs: DataFrame, index: Index, most: float = 0.5) -> DataFrame:
 
     @pandas_udf("double")
     def rate(text: pd.Series) -> pd.Series:
-        return pd.Series([index.score(t)[0] for t in text])
+        out = pd.Series([index.score(t)[0] for t in text])
+        _trim()
+        return out
 
     return docs.where(rate(F.col("text")) < most)
 

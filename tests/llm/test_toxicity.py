@@ -77,3 +77,17 @@ def test_likely_loses_no_row(spark):
     assert set(range(0, 90_000, 7)) <= got and len(got) < 40_000
     assert toxicity.likely(docs, known.limit(0), 0).count() == 0
     assert set(range(0, 90_000, 7)) <= {r.doc_id for r in toxicity.likely(docs, known, known.count(), most=1 << 10).collect()}
+
+
+def test_only_verified_copies_go_and_places_fill_up(spark):
+    draw = random.Random(5)
+    base = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    same_words = [(i, " ".join(draw.sample(base, 60))) for i in range(40)]  # one vocabulary, no common passages
+    text = " ".join(draw.choice(base) for _ in range(200))
+    copies = [(100 + i, f"{text} {base[i % 60]}") for i in range(60)]
+    docs = spark.createDataFrame(same_words + copies, "doc_id long, text string")
+    known = spark.createDataFrame([(i, 0) for i, _ in same_words + copies], "doc_id long, toxic int")
+    got = {r.doc_id for r in toxicity.examples(docs, known, {0: 100}, 30).collect()}
+    assert len(got) == 30 and sum(i >= 100 for i in got) <= 1
+    every = {r.doc_id for r in toxicity.examples(docs, known, {0: 100}, 100).collect()}
+    assert set(range(40)) <= every and len(every) == 41
