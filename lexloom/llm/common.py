@@ -87,6 +87,18 @@ def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Data
         yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system; a worker lives on for later tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if back:
+        back(0)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: each bit of the result depends on each of x (multiply and shift, as in splitmix64)."""
     x = x.astype(np.uint64, copy=True)

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, _remove, mixed, read, rounds, shared_folder, slices
+from .common import Words, _remove, mixed, read, rounds, shared_folder, slices, trim
 
 _ODD, _END, _START = np.uint64(0xD1342543DE82EF95), np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Frequencies of contexts by powers of two; steps of an octave in which ratios of estimates are told apart, and their middle.
@@ -201,18 +201,6 @@ def _by_chunk(rows: DataFrame, parts: int) -> DataFrame:
     return spark.table(name)
 
 
-def _trim() -> None:
-    """Gives freed memory back to the system; a worker lives on for later tasks."""
-    import ctypes
-
-    import pyarrow as pa
-
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def _loaded(batches: Iterator[pd.DataFrame], orders: int, train_docs: int) -> Iterator[Chunk]:
     for batch in batches:
         for row in batch.itertuples(index=False):
@@ -221,7 +209,7 @@ def _loaded(batches: Iterator[pd.DataFrame], orders: int, train_docs: int) -> It
                 chunk.answer(np.concatenate([_unpack(x["counts"], "<i8") for x in getattr(row, f"a{n}")] or [np.zeros(0, np.int64)]), train_docs)
             yield chunk
             del chunk  # before the next one is unpacked
-            _trim()
+            trim()
 
 
 def _asked(table: DataFrame, answers: list[DataFrame], parts: int, train_docs: int) -> DataFrame:
@@ -257,7 +245,7 @@ def _asked(table: DataFrame, answers: list[DataFrame], parts: int, train_docs: i
                 at, first, n = np.unique(bins, return_index=True, return_counts=True)
                 rows.append((-1, bucket, None, at.tolist(), n.tolist(), np.bincount(bins, weights=total)[at].astype(np.int64).tolist()))
             held.clear()
-            _trim()
+            trim()
             return pd.DataFrame(rows, columns=["chunk", "bucket", "counts", "bins", "words", "tokens"])
 
         bucket = None

@@ -1,43 +1,38 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Features of a text are its words and their first four and five letters. Those that the labels depend on (chi-square) are the index's terms. Examples
-are sorted by their vectors and cut into blocks; each term keeps its largest weight in each block. A query adds up
-those maxima, visits blocks from the largest bound down, and stops when the bound falls below the k-th best cosine found,
-so the k nearest are exact. Their votes, weighted by squared cosine and by what each example stands for among
+Every word of every example is a term; none is chosen or left out. A term's weight in a text is (1 + log of its count) times its IDF times the
+square root of what it tells of the label (mutual information, over all labelled rows), so that cosines are about the words that labels go with and not
+about rare words that two texts share by chance. Examples are put in order by splitting them along their main directions and cut into blocks; each term keeps its
+largest weight in each block. A query adds up those maxima, visits blocks from the largest bound down, and stops when the bound falls below the
+k-th best cosine found, so the k nearest are exact. Their votes, weighted by squared cosine and by what each example stands for among
 all labelled rows, give a score, which leave-one-out scores of the examples calibrate (isotonic regression).
 """
 
 from __future__ import annotations
 
-import math
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, read, window_hashes, written
-from .language_model import _trim
+from .common import mixed, read, slices, trim, window_hashes, written
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-#: Lengths of the word beginnings that are features beside whole words.
-STEMS = (4, 5)
+#: No term's information is below this, so each has a weight.
+LEAST_INFORMATION = 1e-12
+#: The index that this process has built last, by its key: a Python worker serves many tasks.
+_BUILT: dict[str, dict] = {}
 
 
-def features(text: str | None) -> Counter:
-    """How often each feature is in the text: words as they are, beginnings with a mark in front."""
-    words = Counter(_LETTERS.findall((text or "").lower()))
-    out = Counter(words)
-    for n in STEMS:
-        for w, k in words.items():
-            if len(w) >= n:
-                out[f"{n}^{w[:n]}"] += k
-    return out
+def counted(text: str | None) -> Counter:
+    """How often each word (a run of letters, in lower case) is in the text."""
+    return Counter(_LETTERS.findall((text or "").lower()))
 
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
@@ -58,77 +53,86 @@ def families(own: np.ndarray, bands: int = 10, rows: int = 3) -> list[int]:
     return key.view(np.int64).tolist()
 
 
-@dataclass
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (size[0] of them), first[1], ..."""
+    return np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+
+
 class Index:
-    """Labelled examples as unit vectors of their terms, in blocks; small, by the bounds given to fit()."""
-
-    terms: dict[str, int]
-    idf: np.ndarray
-    ids: np.ndarray
-    toxic: np.ndarray
-    stands_for: np.ndarray
-    vectors: list[tuple[np.ndarray, np.ndarray]]
-    empty_rate: float
-    k: int = 15
-    block: int = 64
-    knots: tuple[np.ndarray, np.ndarray] | None = None
-    _built: dict = field(default_factory=dict, repr=False)
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_built": {}}
+    """Labelled examples as unit vectors of their words, in blocks. Example i has the terms place[first[i]:first[i + 1]], times[...] each."""
+
+    def __init__(self, words: list[str], weight: np.ndarray, ids: np.ndarray, toxic: np.ndarray, stands_for: np.ndarray, first: np.ndarray, place: np.ndarray, times: np.ndarray, empty_rate: float, k: int = 15, block: int = 128):
+        self.words, self.weight, self.ids, self.toxic, self.stands_for = "\n".join(words), weight, ids, toxic, stands_for
+        self.first, self.place, self.times, self.empty_rate, self.k, self.block = first, place.astype(np.int32), times.astype(np.int32), empty_rate, k, block
+        self.knots: tuple[np.ndarray, np.ndarray] | None = None
+        self.key = uuid.uuid4().hex
 
     def _index(self) -> dict:
-        if not self._built:
-            blocks = -(-len(self.vectors) // self.block)
-            most = np.zeros((len(self.terms), blocks))
-            postings: list[dict[int, tuple[list, list]]] = [{} for _ in range(blocks)]
-            for i, (at, weight) in enumerate(self.vectors):
-                b, row = divmod(i, self.block)
-                np.maximum.at(most[:, b], at, weight)
-                for t, w in zip(at.tolist(), weight.tolist(), strict=True):
-                    rows, ws = postings[b].setdefault(t, ([], []))
-                    rows.append(row)
-                    ws.append(w)
-            packed = [{t: (np.array(r), np.array(w)) for t, (r, w) in p.items()} for p in postings]
-            self._built.update(most=most, postings=packed, words={t: i for t, i in self.terms.items() if "^" not in t}, stems={n: {t.split("^", 1)[1]: i for t, i in self.terms.items() if t.startswith(f"{n}^")} for n in STEMS}, known={})
-        return self._built
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array(sorted(counts), dtype=np.int64)
-        weight = np.array([1 + math.log(counts[i]) for i in at.tolist()]) * self.idf[at] if len(at) else np.zeros(0)
+        if self.key not in _BUILT:
+            _BUILT.clear()
+            words = self.words.split("\n") if self.words else []
+            row = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
+            value = (1 + np.log(self.times)) * self.weight[self.place]
+            norm = np.sqrt(np.bincount(row, value**2, len(self.ids)))
+            order = np.argsort(self.place, kind="stable")
+            row, value, term = row[order], (value / norm[row])[order], self.place[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (term[1:] != term[:-1]) | (row[1:] // self.block != row[:-1] // self.block)
+            entry = np.flatnonzero(new)  # a term's postings in a block
+            most = np.maximum.reduceat(value, entry) if len(entry) else np.zeros(0)
+            _BUILT[self.key] = {
+                "place": {w: i for i, w in enumerate(words)}, "row": row, "value": value, "entry": np.append(entry, len(row)), "block": row[entry] // self.block, "most": most,
+                "of_term": np.searchsorted(term[entry], np.arange(len(words) + 1)), "known": {},
+            }
+        return _BUILT[self.key]
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The places and the weights, as a unit vector, of the text's words that any example has."""
+        place = self._index()["place"]
+        found = sorted((i, n) for w, n in counted(text).items() if (i := place.get(w)) is not None)
+        return self._unit(np.array([i for i, _ in found], np.int64), np.array([n for _, n in found], np.float64))
+
+    def of_example(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.first[i], self.first[i + 1])
+        order = np.argsort(self.place[own])
+        return self._unit(self.place[own][order].astype(np.int64), self.times[own][order].astype(np.float64))
+
+    def _unit(self, at: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weight = (1 + np.log(times)) * self.weight[at]
         return at, weight / np.linalg.norm(weight) if len(at) else weight
 
-    def counts(self, text: str | None) -> dict[int, int]:
-        """Of the index's terms, how often each is in the text."""
-        built, out = self._index(), {}
-        for w, k in Counter(_LETTERS.findall((text or "").lower())).items():
-            if (i := built["words"].get(w)) is not None:
-                out[i] = out.get(i, 0) + k
-            for n, stems in built["stems"].items():
-                if len(w) >= n and (i := stems.get(w[:n])) is not None:
-                    out[i] = out.get(i, 0) + k
-        return out
-
-    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest cosines above 0, and those; of equal ones, those first in the index."""
+    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int | None = None, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of the largest cosines above 0, and those; of equal ones (to 12 places), those first in the index. The example `without` is left out."""
         built, k = self._index(), k or self.k
-        bound = weight @ built["most"][at]
+        begin = built["of_term"][at]
+        size = built["of_term"][at + 1] - begin
+        entries, own = _ranges(begin, size), np.repeat(weight, size)
+        block = built["block"][entries]
+        bound = np.bincount(block, own * built["most"][entries], -(-len(self.ids) // self.block))
         best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best_s) == k and bound[b] < best_s[-1] - 1e-12):
+        order, to, step = np.argsort(-bound, kind="stable"), 0, 2
+        while to < len(order):
+            part, to, step = order[to : to + step], to + step, 2 * step
+            part = part[(bound[part] > 0) & ((len(best_s) < k) | (bound[part] >= (best_s[-1] if len(best_s) else 0) - 1e-11))]
+            if not len(part):
                 break
-            score, postings = np.zeros(self.block), built["postings"][b]
-            for t, w in zip(at.tolist(), weight.tolist(), strict=True):
-                if t in postings:
-                    rows, ws = postings[t]
-                    score[rows] += w * ws
+            visit = np.zeros(len(bound), bool)
+            visit[part] = True
+            some = visit[block]
+            at_entry = built["entry"][entries[some]]
+            many = built["entry"][entries[some] + 1] - at_entry
+            postings = _ranges(at_entry, many)
+            score = np.bincount(built["row"][postings], built["value"][postings] * np.repeat(own[some], many), len(self.ids))
             rows = np.flatnonzero(score > 0)
-            best_i, best_s = np.concatenate([best_i, b * self.block + rows]), np.concatenate([best_s, score[rows]])
-            order = np.lexsort((best_i, -np.round(best_s, 12)))[:k]
-            best_i, best_s = best_i[order], best_s[order]
+            rows = rows[rows != without]
+            best_i, best_s = np.concatenate([best_i, rows]), np.concatenate([best_s, score[rows]])
+            first = np.lexsort((best_i, -np.round(best_s, 12)))[:k]
+            best_i, best_s = best_i[first], best_s[first]
         return best_i, best_s
 
     def vote(self, i: np.ndarray, cosine: np.ndarray) -> float:
+        if not len(i):
+            return self.empty_rate
         w = cosine**2 * self.stands_for[i]
         return float((w @ self.toxic[i] + self.empty_rate) / (w.sum() + 1))
 
@@ -138,18 +142,40 @@ class Index:
         return 0.98 * float(np.interp(raw, *self.knots)) + 0.02 * raw
 
     def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        """The score, and the ids and cosines of the examples that gave it; of texts without any term the rate of such examples."""
-        at, weight = self.vector(self.counts(text))
+        """The score, and the ids and cosines of the examples that gave it; of texts without any known word the rate of such examples."""
+        at, weight = self.vector(text)
         known, key = self._index()["known"], (at.tobytes(), weight.tobytes())
         if key not in known:
-            if len(known) > 4_000:
+            if len(known) > 1_000:
                 known.clear()
-            i, cosine = self.nearest(at, weight) if len(at) else (np.zeros(0, np.int64), np.zeros(0))
-            raw = self.vote(i, cosine) if len(i) else self.empty_rate
-            known[key] = (min(1.0, max(0.0, self.calibrated(raw))), self.ids[i].tolist(), np.round(cosine, 6).tolist())
+            i, cosine = self.nearest(at, weight)
+            known[key] = (min(1.0, max(0.0, self.calibrated(self.vote(i, cosine)))), self.ids[i].tolist(), np.round(cosine, 6).tolist())
         return known[key]
 
 
+def arranged(first: np.ndarray, place: np.ndarray, value: np.ndarray, terms: int, block: int) -> np.ndarray:
+    """An order of the examples in which those near each other are mostly in one block: parts are halved along their main direction."""
+    done: list[np.ndarray] = []
+    waiting = [np.arange(len(first) - 1)]
+    while waiting:
+        rows = waiting.pop()
+        if len(rows) <= block:
+            done.append(rows)
+            continue
+        size = np.diff(first)[rows]
+        own = _ranges(first[:-1][rows], size)
+        row, at, x = np.repeat(np.arange(len(rows)), size), place[own], value[own]
+        way = np.sin(np.arange(len(rows)) + 1.0)  # any start serves
+        for _ in range(6):
+            way -= way.mean()
+            way = np.bincount(row, x * np.bincount(at, x * way[row], terms)[at], len(rows))
+            way /= np.linalg.norm(way) or 1.0
+        order = rows[np.argsort(way, kind="stable")]
+        half = -(-len(rows) // (2 * block)) * block
+        waiting += [order[half:], order[:half]]
+    return np.concatenate(done) if done else np.zeros(0, np.int64)
+
+
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The non-decreasing steps nearest to y by weighted squares (pool adjacent violators), as knots of a line."""
     order = np.argsort(x, kind="stable")
@@ -182,7 +208,7 @@ def without_copies(rows: DataFrame, least: float = 0.8) -> DataFrame:
             own = [shingles(t) for t in batch["text"]]
             yield batch[["doc_id", "toxic", "_h", "_tx"]].assign(bands=[families(x) for x in own], own=[x.view(np.int64) for x in own])
             del batch, own
-            _trim()
+            trim()
 
     key = F.struct("_h", "doc_id", "_tx")
     marked = written(rows.mapInPandas(mark, "doc_id long, toxic int, _h long, _tx long, bands array<long>, own array<long>").withColumn("key", key))
@@ -229,94 +255,112 @@ def likely(docs: DataFrame, known: DataFrame, ids: int, most: int = 1 << 26) ->
     return docs.where(marked(place))
 
 
-def term_rows(labelled: DataFrame, most: int = 1 << 17) -> DataFrame:
-    """term, rows, toxic: of how many labelled rows, and toxic ones, each feature is; the term '' is in all. Counted in each task, `most` terms at a time, before the shuffle."""
+def word_rows(labelled: DataFrame, words: list[str]) -> DataFrame:
+    """place, rows, toxic: of how many labelled rows, and toxic ones, each of the words is. Each task counts in two arrays and sends the words that it met."""
+    joined = "\n".join(words)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: tuple[Counter, Counter] = Counter(), Counter()
-
-        def counted() -> Iterator[pd.DataFrame]:
-            every = seen[0] + seen[1]
-            terms = list(every)
-            for a in range(0, len(terms), 1 << 14):
-                own = terms[a : a + (1 << 14)]
-                yield pd.DataFrame({"term": pd.Series(own, dtype=object), "rows": [every[t] for t in own], "toxic": [seen[1][t] for t in own]})
-            for x in seen:
-                x.clear()
-            del every, terms
-            _trim()
-
+        place = {w: i for i, w in enumerate(joined.split("\n"))}
+        seen = np.zeros((2, len(place)), np.int64)
         for batch in batches:
             for text, y in zip(batch["text"], batch["toxic"], strict=True):
-                seen[y].update(("", *features(text)))
-                if len(seen[0]) + len(seen[1]) >= most:
-                    yield from counted()
-        yield from counted()
+                met = [i for w in set(_LETTERS.findall((text or "").lower())) if (i := place.get(w)) is not None]
+                seen[0, met] += 1
+                if y:
+                    seen[1, met] += 1
+        at = np.flatnonzero(seen[0])
+        for a in range(0, len(at), 1 << 16):
+            own = at[a : a + (1 << 16)]
+            yield pd.DataFrame({"place": own.astype(np.int32), "rows": seen[0, own], "toxic": seen[1, own]})
+        del place, seen
+        trim()
 
-    return labelled.mapInPandas(count, "term string, rows long, toxic long").groupBy("term").agg(F.sum("rows").alias("rows"), F.sum("toxic").alias("toxic"))
+    return labelled.mapInPandas(count, "place int, rows long, toxic long").groupBy("place").agg(F.sum("rows").alias("rows"), F.sum("toxic").alias("toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_terms: int = 1024, min_rows: int = 3, least_ratio: float = 4.0, folds: int = 5) -> Index:
-    """Learns terms, examples and calibration from labelled rows outside the held-out fold.
+def information(rows: np.ndarray, toxic: np.ndarray, n: int, positive: int) -> np.ndarray:
+    """Mutual information, in nats, of a word's presence (in `rows` of n rows, `toxic` of `positive` toxic ones) and the label."""
 
-    Terms, their weights (IDF) and chi-square come from all those rows. per_class bounds the rows of each label that are examples (those with the
-    smallest hashes of their ids), max_terms the terms: the index has at most 2 x per_class x max_terms weights at any size of input. min_rows: documents
-    that a term must be in; least_ratio: by how much likelier it must be in texts of one label than in those of the other. Near copies among the examples
-    are one example. No label row, or one label only: an index without terms, whose score is the rate of toxic rows, 0 without any.
-    Null labels and ids are left out; of an id with several labels the largest counts.
+    def part(cell: np.ndarray, a: np.ndarray, b: float) -> np.ndarray:
+        cell, expected = cell / n, a / n * (b / n)
+        return np.where(cell > 0, cell * np.log(np.maximum(cell, 1e-300) / np.maximum(expected, 1e-300)), 0.0)
+
+    clean = rows - toxic
+    return part(toxic, rows, positive) + part(clean, rows, n - positive) + part(positive - toxic, n - rows, positive) + part(n - positive - clean, n - rows, n - positive)
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, folds: int = 5, k: int = 15) -> Index:
+    """Learns from labelled rows outside the held-out fold.
+
+    per_class bounds the rows of each label that are examples (those with the smallest hashes of their ids, near copies among them once): the one
+    bound there is. All words of the examples are terms; their document frequencies and their information on the label are counted over all labelled
+    rows. No labelled row, or one label only: every score is the rate of toxic rows, 0 without any. Null labels and ids are left out; of an
+    id with several labels the largest counts. Repeated rows of an id with one text are one row.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out("doc_id", folds)).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     known = written(known)
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    rows = written(examples(docs, known, totals, per_class))
-    size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    in_rows = term_rows(likely(docs.select("doc_id", "text"), known, sum(totals.values())).join(known, "doc_id").select("text", "toxic"))
-    in_rows = written(in_rows.where((F.col("rows") >= min_rows) | (F.col("term") == "")))
-    n, positive = next(((r["rows"], r["toxic"]) for r in in_rows.where("term = ''").collect()), (0, 0))
-    in_rows = in_rows.where("term <> ''")
-    tested = in_rows.count()
-    level = max(10.0, 2 * math.log(max(2, tested)))  # so that about one term of chance passes
-    r = F.col("rows").cast("double")
-    chi = n * (F.col("toxic") * float(n) - r * positive) ** 2 / (r * (n - r) * float(positive) * float(n - positive))
-    ratio = F.abs(F.log(((F.col("toxic") + 0.5) / (positive + 1.0)) / ((r - F.col("toxic") + 0.5) / (n - positive + 1.0))))
-    passed = in_rows.where(r < n).withColumn("chi", chi).where((F.col("chi") >= level) & (ratio >= math.log(least_ratio))).orderBy(F.desc("chi"), "term").limit(max_terms).collect() if 0 < positive < n else []
-    passed = sorted(passed, key=lambda x: x["term"])
-    terms = {x["term"]: i for i, x in enumerate(passed)}
-    idf = np.array([math.log((1 + n) / (1 + x["rows"])) + 1 for x in passed])
-    index = Index(terms, idf, np.zeros(0, np.int64), np.zeros(0), np.zeros(0), [], 0.0)
+    rows = examples(docs, known, totals, per_class)
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            own = [index.counts(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "at": [list(x) for x in own], "n": [list(x.values()) for x in own]})
-
-    found = rows.mapInPandas(keep, "doc_id long, toxic int, at array<int>, n array<int>").collect()
-    made = [(tuple(sorted(zip(x["at"], x["n"], strict=True))), x["doc_id"], x["toxic"]) for x in found]
-    share = {y: totals.get(y, 0) / size[y] for y in size}
-    bare = [(share[y], y) for v, _, y in made if not v]
-    made = sorted(x for x in made if x[0])
-    rate = sum(share[y] * y for _, _, y in made) + sum(s * y for s, y in bare)
-    whole = sum(share[y] for _, _, y in made) + sum(s for s, _ in bare)
-    prior = rate / whole if whole else 0.0
-    index.empty_rate = (sum(s * y for s, y in bare) + prior) / (sum(s for s, _ in bare) + 1)
-    index.ids, index.toxic = np.array([i for _, i, _ in made], np.int64), np.array([float(y) for _, _, y in made])
-    index.stands_for = np.array([share[y] for _, _, y in made])
-    index.vectors = [index.vector(dict(v)) for v, _, _ in made]
-    raw = []
-    for own, (at, weight) in enumerate(index.vectors):
-        i, cosine = index.nearest(at, weight, index.k + 1)
-        others = i != own
-        raw.append(index.vote(i[others][: index.k], cosine[others][: index.k]) if others.any() else index.empty_rate)
-    if made:
-        x, y, w = np.array([*raw, index.empty_rate]), np.array([*index.toxic, index.empty_rate]), np.array([*index.stands_for, max(1e-9, sum(s for s, _ in bare))])
-        index.knots = isotonic(x, y, w)
+            own = [counted(t) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "words": ["\n".join(c) for c in own], "times": [np.fromiter(c.values(), "<i4", len(c)).tobytes() for c in own]})
+
+    found = rows.mapInPandas(keep, "doc_id long, toxic int, words string, times binary").toArrow().to_pandas().sort_values(["doc_id", "words"], ignore_index=True)
+    toxic = found["toxic"].to_numpy(np.float64)
+    size = {y: int((toxic == y).sum()) for y in (0, 1)}
+    share = np.array([totals.get(y, 0) / max(1, size[y]) for y in (0, 1)])[toxic.astype(int)] if len(found) else np.zeros(0)
+    prior = float(share @ toxic / share.sum()) if len(found) else 0.0
+    place: dict[str, int] = {}
+    listed = [np.array([place.setdefault(w, len(place)) for w in x.split("\n")] if x else [], np.int64) for x in found.pop("words")]
+    times = [np.frombuffer(x, "<i4") for x in found.pop("times")]
+    bare = np.array([not len(x) for x in listed], bool)
+    empty_rate = float((share[bare] @ toxic[bare] + prior) / (share[bare].sum() + 1))
+    own = np.flatnonzero(~bare)
+    first = np.concatenate([[0], np.cumsum([len(listed[i]) for i in own])]).astype(np.int64)
+    places, counts = (np.concatenate([x[i] for i in own]) if len(own) else np.zeros(0, np.int64) for x in (listed, times))
+    del listed, times
+    words = list(place)
+    in_rows, in_toxic = np.zeros(len(words)), np.zeros(len(words))
+    labelled = likely(docs.select("doc_id", "text"), known, sum(totals.values())).join(known, "doc_id").select("text", "toxic")
+    if words:
+        labelled = written(labelled)
+        n, positive = labelled.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+        met = word_rows(labelled, words).toArrow().to_pandas()
+        in_rows[met["place"]], in_toxic[met["place"]] = met["rows"], met["toxic"]
+    else:
+        n = positive = 0
+    told = np.maximum(LEAST_INFORMATION, information(in_rows, in_toxic, n, positive)) if n else in_rows
+    weight = (np.log((1 + n) / (1 + in_rows)) + 1) * np.sqrt(told)
+    index = Index(words, weight, np.zeros(len(own), np.int64), toxic[own], share[own], first, places, counts, empty_rate, k)
+    row = np.repeat(np.arange(len(own)), np.diff(first))
+    value = (1 + np.log(counts)) * weight[places]
+    value /= np.sqrt(np.bincount(row, value**2, len(own)))[row]
+    order = arranged(first, places, value, len(words), index.block)
+    size_of = np.diff(first)[order]
+    taken = _ranges(first[:-1][order], size_of)
+    index = Index(words, weight, found["doc_id"].to_numpy(np.int64)[own][order], toxic[own][order], share[own][order], np.concatenate([[0], np.cumsum(size_of)]).astype(np.int64), places[taken], counts[taken], empty_rate, k)
+    if not len(own):
+        return index
+
+    def leave_one_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = batch["id"].to_numpy()
+            yield pd.DataFrame({"id": at, "raw": [index.vote(*index.nearest(*index.of_example(i), without=i)) for i in at.tolist()]})
+
+    spark = docs.sparkSession
+    raw = spark.range(0, len(own), 1, min(slices(docs), -(-len(own) // 500))).mapInPandas(leave_one_out, "id long, raw double").toArrow().to_pandas().sort_values("id")["raw"].to_numpy()
+    index.knots = isotonic(np.append(raw, empty_rate), np.append(index.toxic, empty_rate), np.append(index.stands_for, max(1e-9, share[bare].sum())))
+    index.key = uuid.uuid4().hex
     return index
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """doc_id, score, predicted (score >= 0.5), neighbours and their cosines: a row for each row of docs, from its whole text.
 
-    Null and empty texts have no terms and get the rate of toxic rows among examples without any. No shuffle.
+    Null and empty texts, and those without any word of an example, get the rate of toxic rows among examples without words. Equal texts score
+    alike. No shuffle.
     """
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -330,12 +374,11 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
 
 def clean(docs: DataFrame, index: Index, most: float = 0.5) -> DataFrame:
     """The rows of docs that score less than `most`, all columns as they are; no shuffle."""
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("double")
+    @F.pandas_udf("double")
     def rate(text: pd.Series) -> pd.Series:
         out = pd.Series([index.score(t)[0] for t in text])
-        _trim()
+        trim()
         return out
 
     return docs.where(rate(F.col("text")) < most)

@@ -35,19 +35,86 @@ def test_held_out_accuracy(spark):
     assert kept.columns == docs.columns and kept.count() == sum(not r.predicted for r in toxicity.score(docs, index).collect())
 
 
+def dense(index):
+    """The examples' unit vectors as rows of a matrix."""
+    out = np.zeros((len(index.ids), len(index.weight)))
+    for i in range(len(index.ids)):
+        at, w = index.of_example(i)
+        out[i, at] = w
+    return out
+
+
 def test_block_max_is_exact():
     draw = np.random.default_rng(4)
-    index = toxicity.Index({f"t{i}": i for i in range(40)}, draw.uniform(1, 4, 40), np.arange(500), draw.integers(0, 2, 500).astype(float), np.ones(500), [], 0.1, k=7, block=16)
-    counts = [{int(k): int(draw.integers(1, 4)) for k in draw.choice(40, draw.integers(1, 6), replace=False)} for _ in range(500)]
-    index.vectors = [index.vector(c) for c in sorted(counts, key=sorted)]
-    dense = np.zeros((500, 40))
-    for i, (at, w) in enumerate(index.vectors):
-        dense[i, at] = w
+    words = ["".join(draw.choice(list("abcdefgh"), 3)) + f"x{'y' * i}" for i in range(40)]
+    size = draw.integers(1, 7, 500)
+    first = np.concatenate([[0], np.cumsum(size)])
+    place = np.concatenate([draw.choice(40, n, replace=False) for n in size])
+    index = toxicity.Index(words, draw.uniform(1, 4, 40), np.arange(500), draw.integers(0, 2, 500).astype(float), np.ones(500), first, place, draw.integers(1, 4, len(place)), 0.1, k=7, block=16)
+    every = dense(index)
     for _ in range(60):
-        at, w = index.vector({int(k): 1 for k in draw.choice(40, 3, replace=False)})
-        every = dense[:, at] @ w
+        at, w = index.vector(" ".join(draw.choice(words, 3, replace=False)))
+        cosines = every[:, at] @ w
         best, cosine = index.nearest(at, w)
-        assert np.allclose(cosine, np.sort(every)[::-1][:7][: len(cosine)]) and np.allclose(every[best], cosine)
+        assert np.allclose(cosine, np.sort(cosines)[::-1][:7][: len(cosine)]) and np.allclose(cosines[best], cosine) and (len(cosine) == 7 or (cosines > 0).sum() == len(cosine))
+    order = toxicity.arranged(first, place, np.ones(len(place)), 40, 16)
+    assert sorted(order.tolist()) == list(range(500))
+
+
+def steps(x, y, w):
+    """Isotonic regression by its max-min formula."""
+    at = sorted(set(x))
+    mean = lambda a, b: (lambda m: float((y[m] * w[m]).sum() / w[m].sum()))((x >= a) & (x <= b))
+    return at, [max(min(mean(a, b) for b in at if b >= c) for a in at if a <= c) for c in at]
+
+
+def test_against_plain(spark):
+    """The whole score: all words as terms, weights from all labelled rows, exact neighbours, votes, calibration by leave-one-out."""
+    rows, labels = corpus(260, 7)
+    rows += [(900, ""), (901, None), (902, "wholly unseen wordlets"), (903, rows[0][1]), (904, rows[6][1] + " " + rows[1][1])]
+    labels += [(900, 0), (901, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), k=5)
+    words = lambda t: toxicity.Counter(toxicity.re.findall(r"[^\W\d_]+", (t or "").lower()))
+    truth, text = dict(labels), dict(rows)
+    train = [i for i in truth if toxicity.zlib.crc32(str(i).encode()) % 5]
+    n, positive = len(train), sum(truth[i] for i in train)
+    sets = {i: set(words(text[i])) for i in train}
+    own = [i for i in index.ids.tolist()]  # in the index's order, which breaks ties
+    assert sorted(own) == sorted(i for i in train if sets[i])  # no near copies among them
+    vocabulary = sorted(set().union(*sets.values()))
+    assert sorted(index.words.split("\n")) == vocabulary
+
+    def weight(t):
+        told = 0.0
+        for has in (True, False):
+            for y in (0, 1):
+                cell, a, b = sum((t in sets[i]) == has and truth[i] == y for i in train), sum((t in sets[i]) == has for i in train), sum(truth[i] == y for i in train)
+                told += cell / n * np.log(cell * n / (a * b)) if cell else 0.0
+        return (np.log((1 + n) / (1 + sum(t in sets[i] for i in train))) + 1) * np.sqrt(max(1e-12, told))
+
+    of = {t: weight(t) for t in vocabulary}
+
+    def vector(t):
+        v = {w: (1 + np.log(k)) * of[w] for w, k in words(t).items() if w in of}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    examples = [vector(text[i]) for i in own]
+    bare = [i for i in train if not sets[i]]
+    empty = (sum(truth[i] for i in bare) + positive / n) / (len(bare) + 1)
+
+    def raw(v, without=None):
+        cosines = [(-round(sum(x * e.get(w, 0.0) for w, x in v.items()), 12), j) for j, e in enumerate(examples) if j != without]
+        best = [(-c, truth[own[j]]) for c, j in sorted(cosines)[:5] if c < 0]
+        return (sum(c * c * y for c, y in best) + empty) / (sum(c * c for c, _ in best) + 1) if best else empty
+
+    x = np.array([*[raw(e, j) for j, e in enumerate(examples)], empty])
+    at, step = steps(np.round(x, 13), np.array([*[float(truth[i]) for i in own], empty]), np.array([1.0] * len(own) + [float(max(1e-9, len(bare)))]))
+    for r in toxicity.score(docs, index).collect():
+        want = raw(vector(text[r.doc_id]))
+        want = 0.98 * float(np.interp(want, at, step)) + 0.02 * want
+        assert abs(r.score - want) < 1e-6, (r.doc_id, r.score, want)
 
 
 def test_without_labels(spark):
@@ -59,15 +126,16 @@ def test_without_labels(spark):
     assert y.tolist() == [0, 0, 0.5, 0.5, 1, 1] and x.tolist() == [1, 1, 2, 3, 4, 4]
 
 
-def test_terms_come_from_all_labelled_rows(spark):
-    """A word of 1 toxic row in 20, far too rare for the few examples, is a term by the other rows."""
+def test_weights_come_from_all_labelled_rows(spark):
+    """Document frequencies are those of all labelled rows, though few are examples; every word of an example is a term."""
     draw = random.Random(3)
-    rows = [(i, " ".join(draw.choice("abcdefghij") * 3 for _ in range(20)) + (" grumble" if i % 3 == 0 else "") + (" zounds" if i % 60 == 0 else "")) for i in range(3000)]
+    rows = [(i, " ".join(draw.choice("abcdefghij") * 3 for _ in range(20)) + (" grumble" if i % 3 == 0 else "") + f" only{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}") for i in range(3000)]
     index = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int"), per_class=40)
-    assert {"grumble", "zounds"} <= set(index.terms) and len(index.ids) <= 80
-    with_it = sum(not toxicity.zlib.crc32(str(i).encode()) % 5 == 0 for i in range(0, 3000, 60))
-    of_all = sum(not toxicity.zlib.crc32(str(i).encode()) % 5 == 0 for i in range(3000))
-    assert abs(index.idf[index.terms["zounds"]] - (np.log((1 + of_all) / (1 + with_it)) + 1)) < 1e-9
+    assert len(index.ids) == 80 and len(index.weight) == 80 + 11
+    of_all = [i for i in range(3000) if toxicity.zlib.crc32(str(i).encode()) % 5]
+    with_it = sum(i % 3 == 0 for i in of_all)
+    told = toxicity.information(np.array([float(with_it)]), np.array([float(with_it)]), len(of_all), with_it)[0]
+    assert abs(index.weight[index.words.split("\n").index("grumble")] - (np.log((1 + len(of_all)) / (1 + with_it)) + 1) * np.sqrt(told)) < 1e-9
 
 
 def test_likely_loses_no_row(spark):
