@@ -8,16 +8,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The patterns and limits that results depend on.
 LATIN = {"java": r"\p{IsLatin}", "re2": r"\p{Latin}"}
 HAN = {"java": r"\p{IsHan}", "re2": r"\p{Han}"}
 DIGIT = r"\p{Nd}"
-#: A run that starts with a letter or digit; tokens() keeps those with a letter.
+#: A run that starts with a letter or digit; words() keeps those with a letter.
 WORD = {k: rf"[{v}{DIGIT}][-_'’{v}{DIGIT}]*" for k, v in LATIN.items()}
 SENTENCE_END = r"[。.!?！？\n]+"
 KANA = r"[\x{3040}-\x{30FF}]"
 JAPANESE = r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}]"
 SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x{001C}-\x{001F}]"
 NUMERIC = r"^[\p{Nd}.,-]+$"
+#: The same characters as LATIN and WORD; ASCII comes first, which Java's engine tests without a look at its table of scripts.
+_FAST_LATIN = rf"[a-zA-Z{LATIN['java']}]"
+_FAST_WORD = rf"[a-zA-Z0-9{LATIN['java']}{DIGIT}][-_'’a-zA-Z0-9{LATIN['java']}{DIGIT}]*"
 #: Above this share of Latin letters and digits a text is English enough to enrich.
 ENGLISH_ENOUGH = 0.30
 SHORTEST_TERM = 2
@@ -38,28 +42,10 @@ STOP_WORDS = tuple(
 )
 
 
-def tokens(text: Column) -> Column:
-    """F-01: word tokens in order: array of struct(pos, surface, offset). Offsets are 0-based code points.
-
-    Every run is located from the end of the one before, runs without a letter too, so that offsets are exact; those are
-    dropped afterwards. Null text: an empty array.
-    """
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD['java']})"), F.lit(1))
-    start = F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<struct<surface:string,offset:int>>)").alias("out"))
-
-    def step(state: Column, run: Column) -> Column:
-        at = F.call_function("locate", run, text, state["at"])
-        found = F.struct(run.alias("surface"), (at - 1).alias("offset"))
-        return F.struct((at + F.char_length(run)).alias("at"), F.concat(state["out"], F.array(found)).alias("out"))
-
-    located = F.aggregate(runs, start, step)["out"]
-    return F.transform(F.filter(located, lambda t: t["surface"].rlike(LATIN["java"])), lambda t, i: F.struct(i.alias("pos"), t["surface"].alias("surface"), t["offset"].alias("offset")))
-
-
 def words(text: Column) -> Column:
-    """F-01 without offsets: the word tokens in order. Cheaper than tokens(): one pass of the pattern."""
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD['java']})"), F.lit(1))
-    return F.filter(runs, lambda t: t.rlike(LATIN["java"]))
+    """F-01 without offsets: the word tokens in order; null text: an empty array. One pass of the pattern."""
+    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({_FAST_WORD})"), F.lit(1))
+    return F.filter(runs, lambda t: t.rlike(_FAST_LATIN))
 
 
 def strip(c: Column) -> Column:
@@ -73,17 +59,21 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(marked, "\u0001"), strip), lambda s: s != "")
 
 
+def _characters(text: Column, kind: str) -> Column:
+    """How many characters of a class are in the text; runs are taken out at once, which costs less than a match a character."""
+    c = F.coalesce(text, F.lit(""))
+    return (F.char_length(c) - F.char_length(F.regexp_replace(c, f"{kind}+", ""))).cast("long")
+
+
 def language(text: Column) -> Column:
     """F-03: ja if kana and Han outnumber Latin letters, else en if there are any, else other."""
-    count = lambda p: F.coalesce(F.regexp_count(text, F.lit(p)), F.lit(0))
-    japanese, latin = count(KANA) + count(HAN["java"]), count(LATIN["java"])
+    japanese, latin = _characters(text, rf"[\x{{3040}}-\x{{30FF}}{HAN['java']}]"), _characters(text, _FAST_LATIN)
     return F.when(japanese > latin, "ja").when(latin > 0, "en").otherwise("other")
 
 
 def english_parts(text: Column) -> tuple[Column, Column]:
     """F-04: Latin letters and numbers, and all letters and numbers."""
-    count = lambda p: F.coalesce(F.regexp_count(text, F.lit(p)), F.lit(0)).cast("long")
-    return count(rf"[{LATIN['java']}\p{{N}}]"), count(r"[\p{L}\p{N}]")
+    return _characters(text, rf"[a-zA-Z0-9{LATIN['java']}\p{{N}}]"), _characters(text, r"[a-zA-Z0-9\p{L}\p{N}]")
 
 
 def english_ratio(text: Column) -> Column:
@@ -112,6 +102,11 @@ def normalized(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(plain, r"[・·\x{0300}-\x{036F}]+", ""), f"{SPACE}+", " "))
 
 
+def normalized_token(c: Column) -> Column:
+    """normalized() of a word token in one pass: a token holds no blank, middle dot or combining mark, but lower case may make one of a dotted I."""
+    return F.translate(F.lower(c), _MARKED + "\u0307", _PLAIN)
+
+
 def fast_normalized(c: Column) -> Column:
     """F-06: lower case, middle dots off, white space collapsed and stripped; diacritics stay."""
     return strip(F.regexp_replace(F.regexp_replace(F.lower(c), "[・·]+", ""), f"{SPACE}+", " "))
@@ -132,8 +127,6 @@ def is_content(c: Column) -> Column:
     return (F.char_length(c) >= SHORTEST_TERM) & ~is_stop_word(c)
 
 
-
-
 # The tags that end a sense's list of translations.
 SENSE_TAGS = ("-", "synonym", "antonym", "hypernym", "hyponym", "derivative", "synset", "example", "note", "usage", "etymology")
 

@@ -14,30 +14,38 @@ UNKNOWN_SHARE, DOMAIN_SHARE = 0.10, 0.15
 
 
 def tokens(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, pos, surface, word (normalised): a row a word token, in order by pos."""
-    each = docs.select(F.col(id_column).alias("id"), F.posexplode(T.words(F.col(text))).alias("pos", "surface"))
-    return each.withColumn("word", T.normalized(F.col("surface")))
+    """id, pos, surface, word (normalised): a row a word token, in order by pos.
+
+    Words are normalised in the array, so that what filters them afterwards does not normalise them again.
+    """
+    made = F.transform(T.words(F.col(text)), lambda w: F.struct(w.alias("surface"), T.normalized_token(w).alias("word")))
+    return docs.select(F.col(id_column).alias("id"), F.posexplode(made).alias("pos", "w")).select("id", "pos", "w.surface", "w.word")
 
 
 def located_tokens(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """F-01: id, pos, surface, offset of each word token; offsets are 0-based code points.
 
     A text is cut into runs and the gaps before them, and a running sum over its own rows places each run: linear in the text's
-    length, where T.tokens() builds one array. Ids tell rows apart.
+    length. Rows that share an id are told apart by a hash of their texts; rows that repeat both must not come.
     """
     c = F.coalesce(F.col(text), F.lit(""))
     runs, gaps = F.regexp_extract_all(c, F.lit(f"({T.WORD['java']})"), F.lit(1)), F.split(c, T.WORD["java"], -1)
-    each = docs.select(F.col(id_column).alias("id"), F.posexplode(F.arrays_zip(runs.alias("run"), F.slice(gaps, F.lit(1), F.size(runs)).alias("gap"))).alias("k", "z"))
-    own = Window.partitionBy("id").orderBy("k")
-    placed = each.select("id", "k", F.col("z.run").alias("surface"), (F.sum(F.char_length("z.gap") + F.char_length("z.run")).over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.char_length("z.run")).alias("offset"))
+    each = docs.select(F.col(id_column).alias("id"), F.xxhash64(c).alias("__tx"), F.posexplode(F.arrays_zip(runs.alias("run"), F.slice(gaps, F.lit(1), F.size(runs)).alias("gap"))).alias("k", "z"))
+    own = Window.partitionBy("id", "__tx").orderBy("k")
+    placed = each.select("id", "__tx", "k", F.col("z.run").alias("surface"), (F.sum(F.char_length("z.gap") + F.char_length("z.run")).over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.char_length("z.run")).alias("offset"))
     kept = placed.where(F.col("surface").rlike(T.LATIN["java"]))
     return kept.select("id", (F.row_number().over(own) - 1).alias("pos"), "surface", "offset")
 
 
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """word, n: how often each normalised word is in the texts; counted in each task before the shuffle."""
+    each = docs.select(F.explode(F.transform(T.words(F.col(text)), T.normalized_token)).alias("word"))
+    return each.groupBy("word").agg(F.count("*").alias("n"))
+
+
 def corpus_lexicon(docs: DataFrame, floor: float = 0.0, text: str = "text") -> DataFrame:
-    """word, n, probability (0 under the floor: censored): what a corpus knows of its words."""
-    counts = docs.select(F.explode(T.words(F.col(text))).alias("surface")).groupBy("surface").agg(F.count("*").alias("n"))
-    counts = counts.groupBy(T.normalized(F.col("surface")).alias("word")).agg(F.sum("n").alias("n")).where("word <> ''")
+    """word, n, probability (0 under the floor: censored): what a corpus knows of its words. The total reuses the shuffle of the counts."""
+    counts = word_counts(docs, text)
     total = counts.agg(F.sum("n").alias("total"))
     p = F.col("n") / F.col("total")
     return counts.crossJoin(F.broadcast(total)).select("word", "n", F.when(p >= floor, p).otherwise(0.0).alias("probability"))  # total: one row

@@ -7,16 +7,13 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import terms
+from ..sources.tables import read
 from . import fixtures as V
 
 #: Words that a corpus has too rarely to be given a probability.
 FLOOR = 3e-6
 
 
-def read(spark, sf_dir, table):
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
 def both(spark, sf_dir):
     """documents and the fixture texts, which are in other scripts; their ids are negative."""
     more = spark.createDataFrame([(-i, t) for i, t in V.TEXTS], "doc_id long, text string")

@@ -1,7 +1,11 @@
 """A reader for on-disk hash-table dictionaries (a header of 128 bytes, a bucket array of offsets, chained records).
 
 Register with spark.dataSource.register(HashDictionary) and read with spark.read.format("hashdbm").load(path): key and value, both
-binary, of every live record, or with .option("key", k) of one key, found through its bucket. The file is split by buckets.
+binary, of every live record, or with .option("key", k) of one key, found through its bucket; so is, with
+.option("pushdown", "true"), a key that a filter asks for (Spark then wants spark.sql.python.filterPushdown.enabled). The file is split by buckets. .option("magic", m) holds the nine bytes that files of the caller's
+writer begin with (as text, \\n for a line end); other files are refused. Without it any nine bytes pass, and the other fields of the header decide.
+
+The path is one that the driver and every executor see as a local file (a shared mount, or a copy on each host), since records are found by seeking.
 """
 
 from __future__ import annotations
@@ -10,10 +14,10 @@ import mmap
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
 # Fixed values of the format.
-MAGIC, META, ALIGN = b"HDB\n", 128, 4096  # the first at byte 5, after the name of the library that writes the file
+MAGIC_SIZE, META, ALIGN = 9, 128, 4096
 VOID, SET, REMOVE, ADD = 0xC0, 0x80, 0x40, 0x00
 SEED, MULTIPLIER = 19780211, 0xC6A4A7935BD1E995
 _MASK = (1 << 64) - 1
@@ -65,16 +69,21 @@ class Header:
     size: int
 
     @classmethod
-    def of(cls, data) -> Header:
-        if len(data) < META or bytes(data[5 : 5 + len(MAGIC)]) != MAGIC:
-            raise ValueError("not a hash dictionary")
+    def of(cls, data, magic: bytes | None = None) -> Header:
+        if len(data) < META:
+            raise ValueError("not a hash dictionary: shorter than its header")
+        if magic is not None and bytes(data[:MAGIC_SIZE]) != magic:
+            raise ValueError(f"not a hash dictionary: begins with {bytes(data[:MAGIC_SIZE])!r}")
         flags, width, align = data[12], data[13], data[14]
         if not 3 <= width <= 6:
             raise ValueError(f"offsets of {width} bytes")
         if flags >> 4 & 0x7:
             raise ValueError("compressed records")
         number = lambda at: int.from_bytes(data[at : at + 8], "big")
-        return cls((0, 1, 2, 4)[flags >> 2 & 0x3], width, align, number(16), number(24), number(40))
+        made = cls((0, 1, 2, 4)[flags >> 2 & 0x3], width, align, number(16), number(24), number(40))
+        if made.buckets < 1 or META + made.buckets * width > len(data):
+            raise ValueError(f"{made.buckets} buckets in {len(data)} bytes")
+        return made
 
     @property
     def base(self) -> int:
@@ -85,11 +94,11 @@ class Header:
 class Table:
     """A file's records, by bucket or key (A-02, A-03, A-05, A-06)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, magic: bytes | None = None):
         self.path = path
         with open(path, "rb") as f:
             self.data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        self.header = Header.of(self.data)
+        self.header = Header.of(self.data, magic)
 
     def _offset(self, at: int) -> int:
         return int.from_bytes(self.data[at : at + self.header.width], "big") << self.header.align
@@ -132,25 +141,37 @@ class _Buckets(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.key, self.parts = options["path"], options.get("key"), int(options.get("parts", 8))
+        self.path, self.parts = options["path"], int(options.get("parts", 8))
+        self.key = options["key"].encode() if "key" in options else None
+        self.magic = options["magic"].replace("\\n", "\n").encode() if "magic" in options else None
 
     def partitions(self):
         if self.key is not None:
             return [_Buckets(0, 0)]
-        n = Table(self.path).header.buckets
+        n = Table(self.path, self.magic).header.buckets
         parts = max(1, min(self.parts, n))
         return [_Buckets(n * i // parts, n * (i + 1) // parts) for i in range(parts)]
 
     def read(self, partition):
-        table = Table(self.path)
+        table = Table(self.path, self.magic)
         if self.key is not None:
-            value = table.get(self.key.encode())
+            value = table.get(self.key)
             if value is not None:
-                yield self.key.encode(), value
+                yield self.key, value
             return
         yield from table.live(partition.first, partition.last)
 
 
+class _PushReader(_Reader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """A-02: an equal key is found through its bucket; Spark filters by the rest, and by a second key."""
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("key",) and self.key is None and isinstance(f.value, bytes | bytearray):
+                self.key = bytes(f.value)
+            else:
+                yield f
+
+
 class HashDictionary(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -160,4 +181,4 @@ class HashDictionary(DataSource):
         return "key binary, value binary"
 
     def reader(self, schema):
-        return _Reader(self.options)
+        return (_PushReader if self.options.get("pushdown", "false").lower() == "true" else _Reader)(self.options)

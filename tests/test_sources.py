@@ -30,7 +30,7 @@ def table(path, buckets, records):
         heads[b] = at + len(body)
         body += record + b"\0" * (-len(record) % (1 << align))
     meta = bytearray(128)
-    meta[:9] = b"XXXXXHDB\n"
+    meta[:9] = b"LoomHash\n"
     meta[12], meta[13], meta[14] = 1, width, align
     for place, n in ((16, buckets), (24, len(records)), (40, at + len(body))):
         meta[place : place + 8] = n.to_bytes(8, "big")
@@ -51,6 +51,20 @@ def test_hash_dictionary(spark, tmp_path):
     assert rows == {b"run": b"[1]", b"bank": b"x" * 300, b"river": b"{}"}
     assert [bytes(r.value) for r in spark.read.format("hashdbm").option("key", "run").load(str(path)).collect()] == [b"[1]"]
     assert spark.read.format("hashdbm").option("key", "gone").load(str(path)).count() == 0
+    with_magic = spark.read.format("hashdbm").option("magic", "LoomHash\\n")
+    assert with_magic.load(str(path)).count() == 3
+    with pytest.raises(Exception, match="not a hash dictionary"):
+        spark.read.format("hashdbm").option("magic", "LoomHush\\n").load(str(path)).count()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        for key, n in (("run", 1), ("gone", 0)):
+            found = with_magic.option("pushdown", "true").load(str(path)).where(F.col("key") == F.lit(key).cast("binary"))
+            assert found.count() == n
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    asked = hashdbm._PushReader({"path": str(path)})
+    assert list(asked.pushFilters([hashdbm.EqualTo(("key",), b"run"), hashdbm.EqualTo(("key",), b"x")])) == [hashdbm.EqualTo(("key",), b"x")]
+    assert list(asked.read(asked.partitions()[0])) == [(b"run", b"[1]")]
     t = hashdbm.Table(str(path))
     assert b"run" in t and b"gone" not in t and t.header.records == 6 and t.header.base % 4096 == 0
     (tmp_path / "bad").write_bytes(b"\0" * 200)
