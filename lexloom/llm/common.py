@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,25 +13,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read  # noqa: F401  the operators of this folder take it from here
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
-    """Names a row by its id and its text, so that rows which share an id but not a text stay apart."""
-    return [F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_tx")]
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The folder in spark.checkpoint.dir, else the context's checkpoint folder; a temporary one only where the session names none and all its
+    executors are threads of the driver. Several hosts share no temporary folder, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext._jsc.sc()
         if context.getCheckpointDir().isEmpty():
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexloom-"))
         folder = context.getCheckpointDir().get()
     return folder.rstrip("/")
@@ -57,6 +54,22 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for new columns beside those of df, whatever those are called."""
+    own, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in own:
+            name += "_"
+        own.add(name.lower())
+        out.append(name)
+    return out
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row as one text, to put repeated rows in a fixed order."""
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+
+
 def slices(df: DataFrame, least: int = 1) -> int:
     """How many partitions to deal out by key: the session's number for shuffles."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -204,7 +204,7 @@ def fingerprints(docs: DataFrame, rank: np.ndarray | None = None) -> DataFrame:
 
 
 def following(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) dealt out by ranges of ids, in descending order within __range; each range ends with the row that
+    """docs (doc_id, text) dealt out by ranges of ids, a range a task, in descending order within __range; each range ends with the row that
     comes after its last (__tail = 1), so that a task finds every row's next one in its own stream. After the last comes the first.
 
     Null ids come last; rows with one id in order of a hash of their texts. The driver sees one row a range.
@@ -228,7 +228,7 @@ def following(docs: DataFrame) -> DataFrame:
     at = own.sparkSession.createDataFrame(sent, "__id long, __t long, __range int")
     tails = own.join(F.broadcast(at), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tx") == F.col("__t"))).select("doc_id", "text", "__tx", "__range", F.lit(1).alias("__tail"))
     every = own.withColumn("__range", range_of("doc_id")).withColumn("__tail", F.lit(0)).unionByName(tails)
-    return every.repartition(n, "__range").sortWithinPartitions("__range", "__tail", F.col("doc_id").desc_nulls_last(), "__tx")
+    return every.repartitionById(n, F.col("__range")).sortWithinPartitions("__range", "__tail", F.col("doc_id").desc_nulls_last(), "__tx")
 
 
 def edited(text: str, other: str) -> str:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, groups, mixed, read, rounds, slices, window_hashes, written
+from .common import Words, fresh, groups, mixed, read, rounds, slices, whole_row, window_hashes, written
 from .pairs import components, local_roots, tiles
 
 #: MinHash values in a band, bands, and values that are compared at a time.
@@ -23,6 +23,7 @@ ROWS, BANDS, STEP = 4, 24, 16
 HASHES = ROWS * BANDS
 _DRAW = np.random.default_rng(20)
 _A = _DRAW.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SECOND = np.uint64(0x6A09E667F3BCC909)
 _B = _DRAW.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2)
 
 
@@ -119,13 +120,13 @@ def _tile(part: pd.DataFrame, least: float, tolerance: float) -> pd.DataFrame:
     return pd.DataFrame({"node": node[at], "links": (linked[at] @ part["n"].to_numpy()).astype(np.int64), "to": node[local_roots(linked)[at]]})
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, tolerance: float = 1e-8, side: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, tolerance: float = 1e-8, side: int = 256, bits: int = 64) -> DataFrame:
     """docs (doc_id, text; others ignored) to doc_id, tx, class_id, n_links, kept, a row for each row of docs.
 
     Links are pairs with Jaccard similarity >= least over whole sets of n-grams of `width` words. n_links counts the other rows
     linked directly, class_id is the smallest doc_id of those that links join, kept is true for the one row with it (of rows that repeat that id,
-    those with the smallest tx). Texts with equal sets are one node with a number of copies, so copies are never paired. Null and empty texts
-    link with nothing; texts of fewer than `width` words are one n-gram. Null ids count as largest and are their class's id only if it has no other.
+    those with the smallest tx). Texts with equal sets, known by 128 bits, are one node with a number of copies, so copies are never paired; a node goes by `bits` of
+    them, and nodes that these do not tell apart get others. Null and empty texts link with nothing; texts of fewer than `width` words are one n-gram. Null ids count as largest and are their class's id only if it has no other.
 
     A pair of similarity 0.8 shares none of 24 bands of 4 values with probability 3e-6; the tolerance adds 1e-8 a round.
 
@@ -140,20 +141,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, toleran
             sets = shingles([t if isinstance(t, str) else None for t in texts], width)
             some = [i for i, s in enumerate(sets) if len(s)]
             signs = signatures([sets[i] for i in some])
-            node = np.zeros(len(sets), np.int64)
+            node, second = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
             bands: list[np.ndarray | None] = [None] * len(sets)
             with np.errstate(over="ignore"):
                 for i in some:
-                    node[i] = mixed(np.array([sets[i].sum() + np.uint64(len(sets[i])) ^ np.bitwise_xor.reduce(mixed(sets[i]))], np.uint64)).view(np.int64)[0]
+                    other = mixed(sets[i] ^ _SECOND)
+                    node[i], second[i] = mixed(np.array([sets[i].sum() + np.uint64(len(sets[i])) ^ np.bitwise_xor.reduce(mixed(sets[i])), other.sum() ^ np.bitwise_xor.reduce(mixed(other))], np.uint64)).view(np.int64) >> (64 - bits, 0)
                 if some:
                     keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(some), BANDS)).copy()
                     for r in range(ROWS):
                         keys = mixed(keys * np.uint64(0xD1342543DE82EF95) + signs[:, r::ROWS])
                     for i, k in zip(some, keys.view(np.int64), strict=True):
                         bands[i] = k
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "tx": batch["tx"], "node": pd.array([int(x) if len(s) else None for x, s in zip(node, sets, strict=True)], "Int64"), "bands": bands})
-
-    signed = written(base.withColumn("tx", F.xxhash64("text")).mapInPandas(sign, "doc_id long, tx long, node long, bands array<long>"))
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "tx": batch["tx"], "node": pd.array([int(x) if len(s) else None for x, s in zip(node, sets, strict=True)], "Int64"), "second": second, "bands": bands})
+
+    signed = written(base.withColumn("tx", F.xxhash64("text")).mapInPandas(sign, "doc_id long, tx long, node long, second long, bands array<long>"))
+    clash = signed.where("node is not null").groupBy(F.col("node").alias("__c")).agg(F.min("second").alias("lo"), F.max("second").alias("hi")).where("lo < hi")
+    clash = written(clash)
+    if not clash.isEmpty():
+        joined = signed.join(clash, F.col("node") == F.col("__c"), "left")
+        signed = written(joined.withColumn("node", F.when(F.col("lo") < F.col("second"), F.xxhash64("node", "second")).otherwise(F.col("node"))).drop("__c", "lo", "hi"))
     # one row of each node has its bands
     nodes = written(signed.where("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "tx")).alias("rep")))
     banded = signed.where("node is not null").select("node", F.explode("bands").alias("band"))
@@ -191,17 +198,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, toleran
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """One row of each class of near duplicates, all columns as they are; rows without n-grams stay."""
-    decided = near_duplicates(docs, **options)
-    decided = written(decided)
-    gone = decided.where("not kept").select(F.col("doc_id").alias("__id"), F.col("tx").alias("__tx")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__tx"))
+    """One row of each class of near duplicates, all columns as they are, whatever they are called; rows without n-grams stay.
+
+    Of rows that repeat the id and the text that stay, the first by all their columns.
+    """
+    decided = written(near_duplicates(docs, **options))
+    i, t, kept = fresh(docs, "__id", "__tx", "__row")
+    gone = decided.where("not kept").select(F.col("doc_id").alias(i), F.col("tx").alias(t)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(t))
     left = docs.join(gone, same, "left_anti")
-    repeated = decided.where("kept and n_links > 0").groupBy(F.col("doc_id").alias("__id"), F.col("tx").alias("__tx")).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    repeated = decided.where("kept and n_links > 0").groupBy(F.col("doc_id").alias(i), F.col("tx").alias(t)).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     repeated = written(repeated)
     if repeated.isEmpty():
         return left
-    return left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    one = left.join(repeated, same, "left_semi").groupBy("doc_id", F.xxhash64("text").alias(t)).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), whole_row(docs)).alias(kept)).select(f"{kept}.*")
+    return left.join(repeated, same, "left_anti").unionByName(one)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -146,7 +146,7 @@ def _ratio_bins(ratio: np.ndarray) -> np.ndarray:
 
 _RATIOS = np.concatenate([[0.0], 2.0 ** ((np.arange(1, BINS) - MIDDLE * FINE) / FINE)])
 
-_CHUNK = "chunk long, ids binary, held binary, first binary, vocabulary binary, places binary, train_docs long"
+_CHUNK = "chunk long, ids binary, held binary, first binary, vocabulary binary, places binary, train_docs long, tokens long"
 
 
 def chunks(docs: DataFrame, folds: int, tokens: int = 1_000_000) -> tuple[DataFrame, int]:
@@ -166,7 +166,7 @@ def chunks(docs: DataFrame, folds: int, tokens: int = 1_000_000) -> tuple[DataFr
             every = np.concatenate(hashes)
             vocabulary, places = np.unique(every, return_inverse=True)
             held = np.array([False if n else not training(i, folds) for i, n in zip(ids, null, strict=True)])
-            row = {"chunk": (part << 24) + made, "ids": _pack(np.array(ids, "<i8")), "held": _pack(held.astype("u1") + 2 * np.array(null, "u1")), "first": _pack(np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype("<i8")), "vocabulary": _pack_sorted(vocabulary), "places": _pack(places.astype("<u4")), "train_docs": int((~held).sum())}
+            row = {"chunk": (part << 24) + made, "ids": _pack(np.array(ids, "<i8")), "held": _pack(held.astype("u1") + 2 * np.array(null, "u1")), "first": _pack(np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype("<i8")), "vocabulary": _pack_sorted(vocabulary), "places": _pack(places.astype("<u4")), "train_docs": int((~held).sum()), "tokens": len(every)}
             made += 1
             for x in (ids, null, counts, hashes):
                 x.clear()
@@ -188,16 +188,30 @@ def chunks(docs: DataFrame, folds: int, tokens: int = 1_000_000) -> tuple[DataFr
         if ids:
             yield flush()
 
-    n = slices(docs)
+    n = max(slices(docs), min(1 << 16, _bytes_of(docs) >> 26))
     return _by_chunk(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(build, _CHUNK), n), n
 
 
+def _bytes_of(docs: DataFrame) -> int:
+    """What Spark reckons the table's size to be: of files, their length; 0 where it does not know and says the largest number."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 55 else 0
+
+
+def _dropped(spark, name: str, path: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # noqa: BLE001  the session has ended, and its catalog with it
+        pass
+    _remove(spark, path)
+
+
 def _by_chunk(rows: DataFrame, parts: int) -> DataFrame:
-    """Writes rows as a table bucketed by chunk: tables so written join on it without a shuffle."""
+    """Writes rows as a table bucketed by chunk: tables so written join on it without a shuffle. The table is dropped when the driver's process ends."""
     spark, name = rows.sparkSession, f"lexloom_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
     rows.write.bucketBy(parts, "chunk").option("path", path).saveAsTable(name)
-    atexit.register(_remove, spark, path)
+    atexit.register(_dropped, spark, name, path)
     return spark.table(name)
 
 
@@ -212,9 +226,16 @@ def _loaded(batches: Iterator[pd.DataFrame], orders: int, train_docs: int) -> It
             trim()
 
 
-def _asked(table: DataFrame, answers: list[DataFrame], parts: int, train_docs: int) -> DataFrame:
-    """Each chunk's questions of the next order by bucket, answered: chunk, bucket, counts; and for order 1 rows of statistics."""
-    bits = max(0, (parts - 1).bit_length())
+#: About how many n-grams, of all chunks together, a bucket holds.
+BUCKET = 1 << 21
+
+
+def _asked(table: DataFrame, answers: list[DataFrame], parts: int, train_docs: int, tokens: int) -> DataFrame:
+    """Each chunk's questions of the next order by bucket, answered: chunk, bucket, counts; and for order 1 rows of statistics.
+
+    There are as many buckets as keep each at about BUCKET n-grams whatever the corpus, and a task holds one bucket at a time.
+    """
+    bits = max(0, (parts - 1).bit_length(), (tokens // BUCKET).bit_length())
     orders = len(answers)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -281,8 +302,8 @@ def fit_and_score(docs: DataFrame, order: int = 3, folds: int = 10) -> DataFrame
     log10 probability of the whole text under the model, base_score under unigrams with 0.1 added to each count.
     """
     table, parts = chunks(docs, folds)
-    train_docs = int(table.agg(F.sum("train_docs")).first()[0] or 0)
-    answers = [_asked(table, [], parts, train_docs)]
+    train_docs, every = (int(x or 0) for x in table.agg(F.sum("train_docs"), F.sum("tokens")).first())
+    answers = [_asked(table, [], parts, train_docs, every)]
     zipped = answers[0].where("chunk < 0").select(F.explode("seen").alias("s"))
     seen = zipped.groupBy("s.bins").agg(F.sum("s.words").alias("words"), F.sum("s.tokens").alias("tokens")).collect()
     tokens, words = sum(r["tokens"] for r in seen), sum(r["words"] for r in seen)
@@ -290,7 +311,7 @@ def fit_and_score(docs: DataFrame, order: int = 3, folds: int = 10) -> DataFrame
     first = learned(np.array([[float(r["tokens"]) for r in seen] or [0.0]]), ratios)
     model = Model(tokens, words, train_docs, [first])
     for n in range(2, order + 1):
-        answers.append(_asked(table, answers, parts, train_docs))
+        answers.append(_asked(table, answers, parts, train_docs, every))
 
         def histogram(batches: Iterator[pd.DataFrame], n: int = n, model: Model = model) -> Iterator[pd.DataFrame]:
             total = np.zeros(CONTEXTS * BINS, np.int64)

@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, slices, written
+from .common import WORD, fresh, whole_row, written
 
 #: Parts of an octave in a stratum of sizes, and ranges of ranks that are counted before ranks are compared.
-PARTS, RANGES = 4, 256
+PARTS, RANGES = 4, 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -73,7 +73,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
 
     Scale: texts are read once, for their sizes. All after that are narrow rows; sources and strata are aggregated before
     the shuffle, and joined as tables that Spark broadcasts only below its limit of size. No window spans a source: ranks are
-    first counted in ranges, and only rows in the one range that holds a stratum's limit are compared.
+    first counted in 65,536 ranges, and only rows in the one range that holds a stratum's limit are compared, some 1 in 65,536 of a stratum.
     """
     base = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(F.col("text")).alias("_tx"), F.col("source").cast("string").alias("_source"), word_count(F.col("text")).alias("_words"))
     base = base.withColumn("_class", F.when(F.col("_words") > 0, F.floor(F.log2("_words") * PARTS)).cast("int"))
@@ -111,16 +111,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs, each row as often as the mix takes it; the columns of docs."""
-    decided = mix(docs, **options).where("copies > 0").groupBy("doc_id", "tx").agg(F.count("*").alias("__rows"), F.sum("copies").alias("__copies"))
-    # rows that repeat an id and a text share their copies: each takes an equal part, the first of them the remainder
-    decided = decided.select(F.col("doc_id").alias("__id"), F.col("tx").alias("__tx"), "__rows", "__copies")
-    found = docs.join(decided, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__tx")))
-    several = found.where("__rows > 1").withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__tx").orderBy("__id")))
-    share = F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__nth") <= F.col("__copies") % F.col("__rows")).cast("long")
-    several = several.withColumn("__copies", share).drop("__nth")
-    every = found.where("__rows = 1").unionByName(several)
-    return every.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    """docs, each row as often as the mix takes it; the columns of docs, whatever they are called.
+
+    Rows that repeat an id and a text share their copies: each takes an equal part, the first of them (by all their columns) the remainder.
+    """
+    i, t, rows, copies, nth, one = fresh(docs, "__id", "__tx", "__rows", "__copies", "__nth", "__one")
+    decided = mix(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias(i), F.col("tx").alias(t)).agg(F.count("*").alias(rows), F.sum("copies").alias(copies))
+    found = docs.join(decided, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(t)))
+    several = found.where(F.col(rows) > 1).withColumn(nth, F.row_number().over(Window.partitionBy(i, t).orderBy(whole_row(docs))))
+    share = F.floor(F.col(copies) / F.col(rows)) + (F.col(nth) <= F.col(copies) % F.col(rows)).cast("long")
+    several = several.withColumn(copies, share).drop(nth)
+    every = found.where(F.col(rows) == 1).unionByName(several)
+    return every.withColumn(one, F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Token counts kept as additive rollups by source, language and tokenizer version.
 
 A change is signed: an insert adds a text's count, a delete takes it away, a revision does both. A batch of changes is reduced to one row a group
-and written under its id in one step; totals are the sums of the batches that are there. A batch that comes again, whole or after a
-crash, changes nothing.
+and written to a folder of its own; a marker file under the batch's id, created once and never over another, names that folder. Totals are the sums of
+the folders that markers name. A batch that comes again, whole or after a crash, or from two writers at once, counts once.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,39 +55,71 @@ class Rollup:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
-    def _place(self, batch: str) -> str:
-        return f"{self.root}/committed/batch={batch.encode().hex()}"
+    def _marker(self, batch: str) -> str:
+        return f"{self.root}/committed/{batch.encode().hex()}"
+
+    def _named(self, path: str) -> str | None:
+        """The folder that a marker names; None without a marker, or with one whose writer died before its end."""
+        fs, at = self._fs(path)
+        if not fs.exists(at):
+            return None
+        stream = fs.open(at)
+        try:
+            text = bytes(stream.readNBytes(1 << 10)).decode()
+        finally:
+            stream.close()
+        return text[:-1] if text.endswith("\n") else None
 
     def committed(self, batch: str) -> bool:
-        fs, at = self._fs(self._place(batch))
-        return fs.exists(at)
+        return self._named(self._marker(batch)) is not None
+
+    def prepare(self, changes: DataFrame, counters: dict[str, Callable[[Column], Column]] = COUNTERS) -> str:
+        """Writes a batch's delta to a folder that no total reads yet, and returns its name."""
+        name = uuid.uuid4().hex
+        delta(changes, counters).write.parquet(f"{self.root}/deltas/{name}")
+        return name
+
+    def mark(self, batch: str, name: str) -> bool:
+        """Makes a prepared delta count as the batch; False, and the delta goes, if the batch has one already.
+
+        The file system creates the marker or refuses, in one step (as HDFS does, and object stores with conditional writes); nothing is moved. A marker
+        without its last character is of a writer that died, and is replaced.
+        """
+        fs, at = self._fs(self._marker(batch))
+        if fs.exists(at) and not self.committed(batch):
+            fs.delete(at, False)
+        try:
+            stream = fs.create(at, False)
+        except Py4JJavaError as error:
+            if not fs.exists(at):
+                raise error
+            delta_fs, folder = self._fs(f"{self.root}/deltas/{name}")
+            delta_fs.delete(folder, True)
+            return False
+        stream.write(bytearray(f"{name}\n".encode()))
+        stream.close()
+        return True
 
     def commit(self, batch: str, changes: DataFrame, counters: dict[str, Callable[[Column], Column]] = COUNTERS) -> bool:
-        """Writes the batch's delta aside and moves it to its place in one rename; False if the batch was there before.
+        """Writes the batch's delta and marks it; False if the batch was there before.
 
-        Of two writers of one batch the second finds the place taken and drops its copy. A job that dies leaves only a
-        folder aside, which no total reads.
+        Of two writers of one batch, at any pace, one makes the marker and the other drops its copy. A job that dies leaves a folder
+        that no marker names, which no total reads.
         """
         if not batch:
             raise ValueError("a batch needs an id")
         if self.committed(batch):
             return False
-        aside = f"{self.root}/aside/{uuid.uuid4().hex}"
-        delta(changes, counters).write.parquet(aside)
-        fs, source = self._fs(aside)
-        _, place = self._fs(self._place(batch))
-        fs.mkdirs(place.getParent())
-        moved = not fs.exists(place) and fs.rename(source, place)
-        if not moved:
-            fs.delete(source, True)
-        return bool(moved)
+        return self.mark(batch, self.prepare(changes, counters))
 
     def totals(self) -> DataFrame:
-        """source, lang, version, docs, tokens over all committed batches; groups that came back to nothing are left out."""
+        """source, lang, version, docs, tokens over all committed batches; groups that came back to nothing are left out. One small file a batch is read by the driver."""
         fs, at = self._fs(f"{self.root}/committed")
-        if not fs.exists(at):
+        markers = [x.getPath().toString() for x in fs.listStatus(at)] if fs.exists(at) else []
+        folders = [f"{self.root}/deltas/{name}" for name in map(self._named, sorted(markers)) if name]
+        if not folders:
             return self.spark.createDataFrame([], _DELTA)
-        rows = self.spark.read.schema(f"{_DELTA}, batch string").parquet(f"{self.root}/committed")
+        rows = self.spark.read.schema(_DELTA).parquet(*folders)
         sums = rows.groupBy("source", "lang", "version").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return sums.where("docs <> 0 or tokens <> 0")
 

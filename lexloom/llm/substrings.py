@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, _powers, mixed, read, rounds, slices, window_hashes, written
+from .common import Words, _powers, fresh, mixed, read, rounds, slices, window_hashes, written
 
 #: Words of a minimiser, most windows of a super-k-mer, and strings of a minimiser that one task sorts.
 RUN, MOST, BUCKET = 16, 64, 8192
@@ -80,7 +80,9 @@ def repeated(docs: DataFrame, width: int = 50, bucket: int = BUCKET) -> DataFram
 
     Scale: texts are read three times, and shuffled only to meet the strings and the removals of their own document. A super-k-mer of about 18 windows goes as
     40 bytes; strings go only from minimisers with different super-k-mers, one of each. A minimiser's strings over `bucket` are
-    not sorted in one task: their windows are dealt out by their words, and Spark aggregates them before and after the shuffle.
+    not sorted in one task: their windows are dealt out by their words, and Spark aggregates them before and after the shuffle. Both ways compare the
+    words themselves and give the same rows (tests hold each against plain Python). There are two because a sort costs a string once where the other costs
+    each window 50 words, while only the other can share one minimiser's strings among tasks, however many there are.
     """
     base = _keyed(docs)
 
@@ -189,19 +191,20 @@ def removed(docs: DataFrame, width: int = 50, bucket: int = BUCKET) -> DataFrame
 
 
 def without_repeats(docs: DataFrame, width: int = 50, text: str = "text", size: str | None = "n_chars") -> DataFrame:
-    """docs with the words of repeated windows taken out of their texts; texts that lose none stay as they are, white space included.
+    """docs with the words of repeated windows taken out of the column `text`; texts that lose none stay as they are, white space included.
 
-    The columns of docs; `size`, if docs has it, becomes the new number of characters of texts that change.
+    The columns of docs, whatever they are called; `size`, if docs has it, becomes the new number of characters of texts that change.
     """
-    starts = written(repeated(docs, width)).withColumnsRenamed({"order": "__o", "tx": "__t", "starts": "__starts"})
-    joined = docs.join(starts, (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("__o")) & (F.xxhash64("text") == F.col("__t")), "left")
+    o, t, s, new = fresh(docs, "__o", "__t", "__starts", "__new")
+    starts = written(repeated(docs.select("doc_id", F.col(f"`{text}`").alias("text")), width)).select(F.col("order").alias(o), F.col("tx").alias(t), F.col("starts").alias(s))
+    joined = docs.join(starts, (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col(o)) & (F.xxhash64(F.col(f"`{text}`").cast("string")) == F.col(t)), "left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, starts: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else _kept(t, s, width)[2].decode("utf-8", "surrogatepass") for t, s in zip(texts, starts, strict=True)])
 
-    changed = joined.withColumn("__new", cut(F.col(text), F.col("__starts")))
-    columns = [F.col("__new").alias(c) if c == text else F.when(F.col("__starts").isNotNull(), F.length("__new")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == size else F.col(f"`{c}`") for c in docs.columns]
+    changed = joined.withColumn(new, cut(F.col(f"`{text}`"), F.col(s)))
+    columns = [F.col(new).alias(c) if c == text else F.when(F.col(s).isNotNull(), F.length(new)).otherwise(F.col(f"`{c}`")).cast(docs.schema[c].dataType).alias(c) if c == size else F.col(f"`{c}`") for c in docs.columns]
     return changed.select(*columns)
 
 

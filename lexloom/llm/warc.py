@@ -1,13 +1,16 @@
 r"""Derived records of web archives: of each response a metadata record with its links and a conversion record with its plain text.
 
-Records are rows: record_id, record_type, refers_to, concurrent_to, target_uri, date, content_type, content_length, block_digest, payload_digest, headers, block.
-A derived record refers to its response, keeps its target, date and payload digest, and a metadata record holds the response's headers.
-Digests are labelled (sha256:hex). Extraction is regular expressions that Java's engine and RE2 read alike.
+Records are rows: record_id, record_type, refers_to, target_uri, date, content_type, content_length, block_digest, payload_digest, headers, block.
+A derived record refers to its response and keeps its target, date, payload digest and all of the response's headers, names in lower case; a metadata
+record lists them in its block too, and a file of derived records has them in a named field. Digests are labelled (sha256:hex). Extraction is regular
+expressions that Java's engine and RE2 read alike; none goes back over a page, so an unclosed comment, script, style or title takes the rest of its page.
 """
 
 from __future__ import annotations
 
 import gzip
+import json
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,12 +20,12 @@ from pyspark.sql import functions as F
 from .common import read
 
 # What text extraction takes out, puts a line end for, and reads as a character.
-DROPPED = r"(?is)<!--.*?-->|<script\b.*?</script[^>]*>|<style\b.*?</style[^>]*>|<title\b.*?</title[^>]*>"
-LINE = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>"
-TAG = r"<[!/?A-Za-z][^>]*>"
+DROPPED = r"(?is)<!--(?:.*?-->|.*)|<script\b(?:.*?</script[^<>]*>|.*)|<style\b(?:.*?</style[^<>]*>|.*)|<title\b(?:.*?</title[^<>]*>|.*)"
+LINE = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^<>]*>"
+TAG = r"<[!/?A-Za-z][^<>]*>"
 BLANK, LINES = r"[ \t\x0B\f\r\x{A0}]+", r" ?\n[ \n]*"
-TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
-HREF = r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"'>]*)[\"']"
+TITLE = r"(?i)<title\b[^<>]*>([^<]*)"
+HREF = r"(?i)<a\b[^<>]*?\bhref\s*=\s*[\"']([^\"'>]*)[\"']"
 ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "middot": "·", "copy": "©", "reg": "®", "trade": "™", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "bull": "•", "euro": "€", "laquo": "«", "raquo": "»", "amp": "&"}
 
 RECORD = ["record_id", "record_type", "refers_to", "target_uri", "date", "content_type", "content_length", "block_digest", "payload_digest", "headers", "block"]
@@ -70,7 +73,7 @@ def responses(pages: DataFrame, date: str = NO_DATE) -> DataFrame:
     url, payload = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit("\r\n\r\n"))
     base = pages.select(F.col("page_id").cast("string").alias("page"), url.alias("target_uri"), payload.alias("payload"), http.alias("http"))
-    headers = F.create_map(F.lit("Content-Type"), F.lit("text/html; charset=utf-8"), F.lit("Content-Length"), F.octet_length("payload").cast("string"))
+    headers = F.create_map(F.lit("content-type"), F.lit("text/html; charset=utf-8"), F.lit("content-length"), F.octet_length("payload").cast("string"))
     block = F.concat("http", "payload")
     return base.select(
         _urn(F.coalesce("page", F.lit("")), F.col("target_uri")).alias("record_id"), F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_to"), "target_uri", F.lit(date).alias("date"),
@@ -87,7 +90,7 @@ def derive(records: DataFrame) -> DataFrame:
     own = records.where("record_type = 'response'")
     if "payload" not in records.columns:
         own = own.withColumn("payload", F.when(F.instr("block", "\r\n\r\n") > 0, F.expr("substring(block, instr(block, '\r\n\r\n') + 4)")).otherwise(F.col("block")))
-    about = F.to_json(F.struct(F.col("record_id").alias("refers_to"), "target_uri", "date", "payload_digest", "block_digest", F.struct(F.element_at("headers", "Content-Type").alias("content_type"), F.element_at("headers", "Content-Length").alias("content_length")).alias("source_headers"), title_of(F.col("payload")).alias("title"), links_of(F.col("payload")).alias("links")))
+    about = F.to_json(F.struct(F.col("record_id").alias("refers_to"), "target_uri", "date", "payload_digest", "block_digest", F.col("headers").alias("source_headers"), title_of(F.col("payload")).alias("title"), links_of(F.col("payload")).alias("links")))
     blocks = F.array(F.struct(F.lit("metadata").alias("type"), F.lit("application/json").alias("ct"), about.alias("block")), F.struct(F.lit("conversion").alias("type"), F.lit("text/plain; charset=utf-8").alias("ct"), plain_text(F.col("payload")).alias("block")))
     each = own.select("record_id", "target_uri", "date", "payload_digest", "headers", F.explode(blocks).alias("b"))
     return each.select(
@@ -97,6 +100,10 @@ def derive(records: DataFrame) -> DataFrame:
 
 
 _FIELDS = {"WARC-Type": "record_type", "WARC-Record-ID": "record_id", "WARC-Refers-To": "refers_to", "WARC-Target-URI": "target_uri", "WARC-Date": "date", "Content-Type": "content_type", "WARC-Block-Digest": "block_digest", "WARC-Payload-Digest": "payload_digest"}
+#: The field of a derived record that keeps its response's headers, as JSON in ASCII.
+_HEADERS = "X-Source-Headers"
+#: Bytes that are unpacked at a time, and characters of blocks in a batch.
+_STEP, _BATCH = 1 << 20, 1 << 24
 
 
 def warc_member(record) -> bytes:
@@ -106,6 +113,8 @@ def warc_member(record) -> bytes:
     for field, column in _FIELDS.items():
         if (value := record[column]) is not None:
             lines.append(f"{field}: {f'<{value}>' if column in ('record_id', 'refers_to') else value}")
+    if record["record_type"] != "response" and record["headers"]:
+        lines.append(f"{_HEADERS}: {json.dumps(dict(record['headers']))}")
     head = "\r\n".join([*lines, f"Content-Length: {len(block)}"]) + "\r\n\r\n"
     return gzip.compress(head.encode() + block + b"\r\n\r\n", mtime=0)
 
@@ -117,41 +126,119 @@ def warc_members(records: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"record_id": batch["record_id"], "member": [warc_member(r) for r in batch.to_dict("records")]})
 
-    return records.select(*_FIELDS.values(), "block").mapInPandas(make, "record_id string, member binary")
+    return records.select(*_FIELDS.values(), "headers", "block").mapInPandas(make, "record_id string, member binary")
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file's bytes, gzipped or plain."""
-    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+def _unpacked(data: bytes) -> Iterator[bytes]:
+    """A file's bytes, gzip members unpacked a part at a time; a member that is cut or broken ends it."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
     at = 0
-    while (at := data.find(b"WARC/", at)) >= 0 and (end := data.find(b"\r\n\r\n", at)) >= 0:
-        fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:])}
-        size = int(fields.get("content-length", 0))
-        block = data[end + 4 : end + 4 + size]
+    while data[at : at + 2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        while at < len(data) and not member.eof:
+            part = data[at : at + _STEP]
+            try:
+                yield member.decompress(part)
+            except zlib.error:
+                return
+            at += len(part) - len(member.unused_data)
+
+
+class _Buffer:
+    """What is unpacked of a file and not yet read."""
+
+    def __init__(self, data: bytes):
+        self.parts, self.held = _unpacked(data), bytearray()
+
+    def _more(self) -> bool:
+        part = next(self.parts, None)
+        self.held += part or b""
+        return part is not None
+
+    def to(self, mark: bytes) -> bytes | None:
+        """Up to the mark, which goes too; None, and nothing left, without one."""
+        start = 0
+        while (at := self.held.find(mark, start)) < 0:
+            start = max(0, len(self.held) - len(mark))
+            if not self._more():
+                self.held.clear()
+                return None
+        out = bytes(self.held[:at])
+        del self.held[: at + len(mark)]
+        return out
+
+    def take(self, n: int) -> bytes | None:
+        while len(self.held) < n:
+            if not self._more():
+                return None
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        return out
+
+
+def _pairs(lines: list[str]) -> dict[str, str]:
+    """Header lines by name in lower case; values of a repeated name are joined by commas."""
+    out: dict[str, str] = {}
+    for line in lines:
+        name, colon, value = line.partition(":")
+        if colon:
+            name, value = name.strip().lower(), value.strip()
+            out[name] = f"{out[name]}, {value}" if name in out else value
+    return out
+
+
+def parse(data: bytes) -> Iterator[dict]:
+    """The records of a WARC file's bytes, gzipped or plain, with `raw` (the block's bytes) beside the record's columns.
+
+    One record is unpacked at a time. A record whose length is no number is left out, and reading goes on at the next one; a record
+    that the file's end cuts short, or whose gzip member is broken, is left out with all after it. block is the bytes as UTF-8, what is no UTF-8 replaced;
+    lengths and digests are those of the bytes.
+    """
+    buffer = _Buffer(data)
+    while buffer.to(b"WARC/") is not None and (head := buffer.to(b"\r\n\r\n")) is not None:
+        fields = _pairs(head.decode("utf-8", "replace").split("\r\n")[1:])
+        length = fields.get("content-length", "")
+        if not length.isascii() or not length.isdigit():
+            continue
+        raw = buffer.take(int(length))
+        if raw is None:
+            return
         out = {column: fields.get(field.lower()) for field, column in _FIELDS.items()}
         out |= {c: out[c].strip("<>") for c in ("record_id", "refers_to") if out[c]}
-        http, _, _ = block.partition(b"\r\n\r\n") if out["record_type"] == "response" else (b"", b"", b"")
-        headers = dict((k.strip(), v.strip()) for k, s, v in (line.partition(":") for line in http.decode("latin-1").split("\r\n")[1:]) if s)
-        yield out | {"content_length": size, "headers": headers, "block": block.decode("utf-8", "replace")}
-        at = end + 4 + size
+        if out["record_type"] == "response":
+            headers = _pairs(raw.partition(b"\r\n\r\n")[0].decode("latin-1").split("\r\n")[1:])
+        else:
+            try:
+                headers = {str(k): str(v) for k, v in json.loads(fields.get(_HEADERS.lower(), "{}")).items()}
+            except (ValueError, AttributeError):
+                headers = {}
+        yield out | {"content_length": int(length), "headers": headers, "block": raw.decode("utf-8", "replace"), "raw": raw}
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files, columns RECORD; a file is read by one task."""
-    schema = "record_id string, record_type string, refers_to string, target_uri string, date string, content_type string, content_length long, block_digest string, payload_digest string, headers map<string,string>, block string"
+    """The records of WARC files: columns RECORD and `raw`, the block's bytes. A file is read by one task, which holds it packed and one batch of records."""
+    schema = "record_id string, record_type string, refers_to string, target_uri string, date string, content_type string, content_length long, block_digest string, payload_digest string, headers map<string,string>, block string, raw binary"
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for data in batch["content"]:
-                rows = list(parse(bytes(data)))
-                for a in range(0, len(rows), 1000):
-                    yield pd.DataFrame(rows[a : a + 1000], columns=RECORD)
+                rows, size = [], 0
+                for row in parse(bytes(data)):
+                    rows.append(row)
+                    size += row["content_length"]
+                    if size >= _BATCH:
+                        yield pd.DataFrame(rows, columns=[*RECORD, "raw"])
+                        rows, size = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=[*RECORD, "raw"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(load, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return derive(responses(read(spark, sf_dir, "pages"))).drop("headers")
+    return derive(responses(read(spark, sf_dir, "pages"))).withColumn("headers", F.to_json("headers"))
 
 
 def _sql_unescaped(x: str, names=ENTITIES) -> str:
@@ -184,7 +271,8 @@ p AS (
   SELECT *, 'sha256:' || sha256(payload) AS payload_digest, 'sha256:' || sha256('HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(payload)::text || chr(13) || chr(10) || chr(13) || chr(10) || payload) AS response_digest FROM r),
 b AS (
   SELECT *, 'metadata' AS record_type, 'application/json' AS content_type, to_json({{'refers_to': id, 'target_uri': target_uri, 'date': '{NO_DATE}', 'payload_digest': payload_digest, 'block_digest': response_digest,
-    'source_headers': {{'content_type': 'text/html; charset=utf-8', 'content_length': strlen(payload)::text}}, 'title': {_NAME}, 'links': list_transform(regexp_extract_all(payload, {_quoted(HREF)}, 1), lambda x: replace(x, '&amp;', '&'))}})::text AS block FROM p
+    'source_headers': {{'content-type': 'text/html; charset=utf-8', 'content-length': strlen(payload)::text}}, 'title': {_NAME}, 'links': list_transform(regexp_extract_all(payload, {_quoted(HREF)}, 1), lambda x: replace(x, '&amp;', '&'))}})::text AS block FROM p
   UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', {_TEXT} FROM p)
-SELECT {_sql_urn("id || chr(10) || record_type")} AS record_id, record_type, id AS refers_to, target_uri, '{NO_DATE}' AS date, content_type, strlen(block)::bigint AS content_length, 'sha256:' || sha256(block) AS block_digest, payload_digest, block FROM b
+SELECT {_sql_urn("id || chr(10) || record_type")} AS record_id, record_type, id AS refers_to, target_uri, '{NO_DATE}' AS date, content_type, strlen(block)::bigint AS content_length, 'sha256:' || sha256(block) AS block_digest, payload_digest,
+  to_json({{'content-type': 'text/html; charset=utf-8', 'content-length': strlen(payload)::text}})::text AS headers, block FROM b
 """

@@ -54,8 +54,8 @@ def plain(rows, least=0.8):
 def test_against_plain(spark):
     rows = some()
     docs = spark.createDataFrame([(i, t, 1, "b", 2.0) for i, t in rows], "doc_id long, text string, node int, band string, links double").repartition(3)
-    for side in (256, 8):
-        got = jaccard.near_duplicates(docs, side=side).collect()
+    for side, bits in ((256, 64), (8, 4)):  # 4 bits: most nodes clash
+        got = jaccard.near_duplicates(docs, side=side, bits=bits).collect()
         assert sorted((r.doc_id, r.class_id, r.n_links, r.kept) for r in got) == plain(rows)
 
 
@@ -69,6 +69,12 @@ def test_one_of_each_class_stays(spark):
     assert out.count() == want + 1
 
 
+def test_which_repeated_row_stays(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, text, v, {"k": v}, "x") for v in ("c", "b", "d")] + [(2, text, "a", {}, "y")], "doc_id long, text string, __id string, m map<string,string>, `__tx` string").repartition(3)
+    assert [(r.doc_id, r["__id"], r.m) for r in jaccard.deduplicated(docs).collect()] == [(1, "b", {"k": "b"})]
+
+
 def test_empty_and_rules(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     limits = jaccard.needed(0.8, 1e-8)

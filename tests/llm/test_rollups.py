@@ -29,6 +29,27 @@ def test_batches(spark, tmp_path):
     assert totals(store, "bytes-1") == {("s2", "en"): (1, 3)} and totals(store)["s2", "en"] == (1, 2)
 
 
+def test_two_writers_of_one_batch(spark, tmp_path):
+    """Both find the batch missing and write; one counts, whichever marks first."""
+    store, other = rollups.Rollup(spark, str(tmp_path / "store")), rollups.Rollup(spark, str(tmp_path / "store"))
+    rows = changes(spark, [("insert", "a b c", "s", "en", None, None, None)])
+    assert not store.committed("31") and not other.committed("31")
+    first, second = store.prepare(rows), other.prepare(rows)
+    assert totals(store) == {}
+    assert other.mark("31", second) and not store.mark("31", first)
+    assert totals(store) == totals(other) == {("s", "en"): (1, 3)}
+    assert not store.commit("31", rows) and totals(store) == {("s", "en"): (1, 3)}
+
+
+def test_marker_of_a_dead_writer(spark, tmp_path):
+    store = rollups.Rollup(spark, str(tmp_path / "store"))
+    rows = changes(spark, [("insert", "a b c", "s", "en", None, None, None)])
+    assert store.commit("1", rows)
+    (tmp_path / "store/committed" / b"2".hex()).write_text("half a na")
+    assert not store.committed("2") and totals(store) == {("s", "en"): (1, 3)}
+    assert store.commit("2", rows) and totals(store) == {("s", "en"): (2, 6)}
+
+
 def test_bad_change(spark, tmp_path):
     store = rollups.Rollup(spark, str(tmp_path / "store"))
     for rows in ([("oops", "a", "s", "en", None, None, None)], [(None, "a", "s", "en", None, None, None)]):

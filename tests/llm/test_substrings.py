@@ -57,5 +57,14 @@ def test_texts_change_only_where_words_go(spark):
         assert r.n_chars == len(r.text or "") and ((r.doc_id, r.text) in before or "\n" not in r.text)
 
 
+def test_other_names(spark):
+    rows = some()
+    docs = spark.createDataFrame([(i, t, "a", "b", "c", "d", 7) for i, t in rows], "doc_id long, body string, text string, __o string, __t string, __starts string, __new int")
+    out = substrings.without_repeats(docs, text="body")
+    same = substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert out.dtypes == docs.dtypes and {(r.text, r["__o"], r["__starts"], r["__new"]) for r in out.collect()} == {("a", "b", "d", 7)}
+    assert sorted(((r.doc_id, r.body) for r in out.collect()), key=repr) == sorted(((r.doc_id, r.text) for r in same.collect()), key=repr)
+
+
 def test_empty(spark):
     assert substrings.removed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
