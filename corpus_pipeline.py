@@ -1,4 +1,7 @@
-"""A corpus from raw documents: toxic ones out, one of each group of near copies, repeated passages out, sources mixed, sequences packed."""
+"""A corpus from raw documents: toxic ones out, one of each group of near copies, repeated passages out, sources mixed, sequences packed.
+
+Any column may be null and any table empty: such rows score, match and count as empty texts, and an empty table gives empty stages.
+"""
 
 from __future__ import annotations
 
@@ -14,10 +17,12 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: five-word shingles, similarity 0.8 or more. Rows without words stay."""
     return jaccard.deduplicated(docs)
 
 
 def passages_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, without the words of 50-word windows that a smaller doc_id has too."""
     return substrings.without_repeats(docs)
 
 
@@ -27,6 +32,7 @@ def sources_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row a piece of a document, with its ids and its place in a sequence of at most 1,024 tokens."""
     return packing.pack_documents(docs)
 
 
