@@ -10,6 +10,7 @@ all labelled rows, give a score, which leave-one-out scores of the examples cali
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 import zlib
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,14 +57,16 @@ def families(own: np.ndarray, bands: int = 10, rows: int = 3) -> list[int]:
 
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, ... (size[0] of them), first[1], ..."""
-    return np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+    out = np.repeat(first - (np.cumsum(size) - size), size)
+    out += np.arange(len(out), dtype=out.dtype)
+    return out
 
 
 class Index:
-    """Labelled examples as unit vectors of their words, in blocks. Example i has the terms place[first[i]:first[i + 1]], times[...] each."""
+    """Labelled examples as unit vectors of their words (one a line), in blocks. Example i has the terms place[first[i]:first[i + 1]], times[...] each."""
 
-    def __init__(self, words: list[str], weight: np.ndarray, ids: np.ndarray, toxic: np.ndarray, stands_for: np.ndarray, first: np.ndarray, place: np.ndarray, times: np.ndarray, empty_rate: float, k: int = 15, block: int = 128):
-        self.words, self.weight, self.ids, self.toxic, self.stands_for = "\n".join(words), weight, ids, toxic, stands_for
+    def __init__(self, words: str, weight: np.ndarray, ids: np.ndarray, toxic: np.ndarray, stands_for: np.ndarray, first: np.ndarray, place: np.ndarray, times: np.ndarray, empty_rate: float, k: int = 15, block: int = 256):
+        self.words, self.weight, self.ids, self.toxic, self.stands_for = words, weight, ids, toxic, stands_for
         self.first, self.place, self.times, self.empty_rate, self.k, self.block = first, place.astype(np.int32), times.astype(np.int32), empty_rate, k, block
         self.knots: tuple[np.ndarray, np.ndarray] | None = None
         self.key = uuid.uuid4().hex
@@ -75,7 +79,7 @@ class Index:
             value = (1 + np.log(self.times)) * self.weight[self.place]
             norm = np.sqrt(np.bincount(row, value**2, len(self.ids)))
             order = np.argsort(self.place, kind="stable")
-            row, value, term = row[order], (value / norm[row])[order], self.place[order]
+            row, value, term = row[order].astype(np.int32), (value / norm[row])[order], self.place[order]
             new = np.ones(len(row), bool)
             new[1:] = (term[1:] != term[:-1]) | (row[1:] // self.block != row[:-1] // self.block)
             entry = np.flatnonzero(new)  # a term's postings in a block
@@ -88,9 +92,11 @@ class Index:
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The places and the weights, as a unit vector, of the text's words that any example has."""
-        place = self._index()["place"]
-        found = sorted((i, n) for w, n in counted(text).items() if (i := place.get(w)) is not None)
-        return self._unit(np.array([i for i, _ in found], np.int64), np.array([n for _, n in found], np.float64))
+        place, words = self._index()["place"], counted(text)
+        at = np.fromiter((place.get(w, -1) for w in words), np.int64, len(words))
+        times = np.fromiter(words.values(), np.float64, len(words))
+        order = np.argsort(at)[int((at < 0).sum()) :]
+        return self._unit(at[order], times[order])
 
     def of_example(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         own = slice(self.first[i], self.first[i + 1])
@@ -110,9 +116,9 @@ class Index:
         block = built["block"][entries]
         bound = np.bincount(block, own * built["most"][entries], -(-len(self.ids) // self.block))
         best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
-        order, to, step = np.argsort(-bound, kind="stable"), 0, 2
+        order, to, step = np.argsort(-bound, kind="stable"), 0, 8
         while to < len(order):
-            part, to, step = order[to : to + step], to + step, 2 * step
+            part, to, step = order[to : to + step], to + step, 4 * step
             part = part[(bound[part] > 0) & ((len(best_s) < k) | (bound[part] >= (best_s[-1] if len(best_s) else 0) - 1e-11))]
             if not len(part):
                 break
@@ -125,6 +131,8 @@ class Index:
             score = np.bincount(built["row"][postings], built["value"][postings] * np.repeat(own[some], many), len(self.ids))
             rows = np.flatnonzero(score > 0)
             rows = rows[rows != without]
+            if len(rows) > 4 * k:  # most can't be among the k
+                rows = rows[score[rows] >= np.partition(score[rows], -k)[-k] - 1e-11]
             best_i, best_s = np.concatenate([best_i, rows]), np.concatenate([best_s, score[rows]])
             first = np.lexsort((best_i, -np.round(best_s, 12)))[:k]
             best_i, best_s = best_i[first], best_s[first]
@@ -143,17 +151,16 @@ class Index:
 
     def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
         """The score, and the ids and cosines of the examples that gave it; of texts without any known word the rate of such examples."""
-        at, weight = self.vector(text)
-        known, key = self._index()["known"], (at.tobytes(), weight.tobytes())
+        known, key = self._index()["known"], hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
         if key not in known:
-            if len(known) > 1_000:
+            if len(known) > 10_000:
                 known.clear()
-            i, cosine = self.nearest(at, weight)
+            i, cosine = self.nearest(*self.vector(text))
             known[key] = (min(1.0, max(0.0, self.calibrated(self.vote(i, cosine)))), self.ids[i].tolist(), np.round(cosine, 6).tolist())
         return known[key]
 
 
-def arranged(first: np.ndarray, place: np.ndarray, value: np.ndarray, terms: int, block: int) -> np.ndarray:
+def arranged(first: np.ndarray, place: np.ndarray, value: np.ndarray, terms: int, block: int = 256) -> np.ndarray:
     """An order of the examples in which those near each other are mostly in one block: parts are halved along their main direction."""
     done: list[np.ndarray] = []
     waiting = [np.arange(len(first) - 1)]
@@ -255,9 +262,8 @@ def likely(docs: DataFrame, known: DataFrame, ids: int, most: int = 1 << 26) ->
     return docs.where(marked(place))
 
 
-def word_rows(labelled: DataFrame, words: list[str]) -> DataFrame:
-    """place, rows, toxic: of how many labelled rows, and toxic ones, each of the words is. Each task counts in two arrays and sends the words that it met."""
-    joined = "\n".join(words)
+def word_rows(labelled: DataFrame, joined: str) -> DataFrame:
+    """place, rows, toxic: of how many labelled rows, and toxic ones, each of the words (one a line) is. Each task counts in two arrays and sends the words that it met."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place = {w: i for i, w in enumerate(joined.split("\n"))}
@@ -313,18 +319,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, folds: int =
     share = np.array([totals.get(y, 0) / max(1, size[y]) for y in (0, 1)])[toxic.astype(int)] if len(found) else np.zeros(0)
     prior = float(share @ toxic / share.sum()) if len(found) else 0.0
     place: dict[str, int] = {}
-    listed = [np.array([place.setdefault(w, len(place)) for w in x.split("\n")] if x else [], np.int64) for x in found.pop("words")]
+    listed = [np.array([place.setdefault(w, len(place)) for w in x.split("\n")] if x else [], np.int32) for x in found.pop("words")]
     times = [np.frombuffer(x, "<i4") for x in found.pop("times")]
     bare = np.array([not len(x) for x in listed], bool)
     empty_rate = float((share[bare] @ toxic[bare] + prior) / (share[bare].sum() + 1))
     own = np.flatnonzero(~bare)
     first = np.concatenate([[0], np.cumsum([len(listed[i]) for i in own])]).astype(np.int64)
-    places, counts = (np.concatenate([x[i] for i in own]) if len(own) else np.zeros(0, np.int64) for x in (listed, times))
-    del listed, times
-    words = list(place)
-    in_rows, in_toxic = np.zeros(len(words)), np.zeros(len(words))
+    places, counts = (np.concatenate([x[i] for i in own]) if len(own) else np.zeros(0, np.int32) for x in (listed, times))
+    words, many = "\n".join(place), len(place)
+    del listed, times, place
+    trim()
+    in_rows, in_toxic = np.zeros(many), np.zeros(many)
     labelled = likely(docs.select("doc_id", "text"), known, sum(totals.values())).join(known, "doc_id").select("text", "toxic")
-    if words:
+    if many:
         labelled = written(labelled)
         n, positive = labelled.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
         met = word_rows(labelled, words).toArrow().to_pandas()
@@ -333,14 +340,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, folds: int =
         n = positive = 0
     told = np.maximum(LEAST_INFORMATION, information(in_rows, in_toxic, n, positive)) if n else in_rows
     weight = (np.log((1 + n) / (1 + in_rows)) + 1) * np.sqrt(told)
-    index = Index(words, weight, np.zeros(len(own), np.int64), toxic[own], share[own], first, places, counts, empty_rate, k)
-    row = np.repeat(np.arange(len(own)), np.diff(first))
+    row = np.repeat(np.arange(len(own), dtype=np.int32), np.diff(first))
     value = (1 + np.log(counts)) * weight[places]
     value /= np.sqrt(np.bincount(row, value**2, len(own)))[row]
-    order = arranged(first, places, value, len(words), index.block)
+    del row
+    order = arranged(first, places, value, many)
+    del value
     size_of = np.diff(first)[order]
     taken = _ranges(first[:-1][order], size_of)
     index = Index(words, weight, found["doc_id"].to_numpy(np.int64)[own][order], toxic[own][order], share[own][order], np.concatenate([[0], np.cumsum(size_of)]).astype(np.int64), places[taken], counts[taken], empty_rate, k)
+    del places, counts, taken
+    trim()
     if not len(own):
         return index
 
@@ -348,6 +358,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, folds: int =
         for batch in batches:
             at = batch["id"].to_numpy()
             yield pd.DataFrame({"id": at, "raw": [index.vote(*index.nearest(*index.of_example(i), without=i)) for i in at.tolist()]})
+        _let_go()
 
     spark = docs.sparkSession
     raw = spark.range(0, len(own), 1, min(slices(docs), -(-len(own) // 500))).mapInPandas(leave_one_out, "id long, raw double").toArrow().to_pandas().sort_values("id")["raw"].to_numpy()
@@ -360,7 +371,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     """doc_id, score, predicted (score >= 0.5), neighbours and their cosines: a row for each row of docs, from its whole text.
 
     Null and empty texts, and those without any word of an example, get the rate of toxic rows among examples without words. Equal texts score
-    alike. No shuffle.
+    alike. No shuffle. A task builds the index from the examples' words and lets it go at its end.
     """
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -368,20 +379,26 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
             found = [index.score(t) for t in batch["text"]]
             s = np.array([x[0] for x in found])
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": s, "predicted": (s >= 0.5).astype(int), "neighbours": [x[1] for x in found], "cosines": [x[2] for x in found]})
+        _let_go()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(rate, "doc_id long, score double, predicted int, neighbours array<long>, cosines array<double>")
 
 
+def _let_go() -> None:
+    _BUILT.clear()
+    trim()
+
+
 def clean(docs: DataFrame, index: Index, most: float = 0.5) -> DataFrame:
-    """The rows of docs that score less than `most`, all columns as they are; no shuffle."""
+    """The rows of docs that score less than `most`, all columns as they are, whatever they are called; no shuffle."""
+    at = docs.columns.index("text")
 
-    @F.pandas_udf("double")
-    def rate(text: pd.Series) -> pd.Series:
-        out = pd.Series([index.score(t)[0] for t in text])
-        trim()
-        return out
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([index.score(t)[0] < most for t in batch.column(at).to_pylist()], pa.bool_()))
+        _let_go()
 
-    return docs.where(rate(F.col("text")) < most)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

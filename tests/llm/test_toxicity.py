@@ -50,7 +50,7 @@ def test_block_max_is_exact():
     size = draw.integers(1, 7, 500)
     first = np.concatenate([[0], np.cumsum(size)])
     place = np.concatenate([draw.choice(40, n, replace=False) for n in size])
-    index = toxicity.Index(words, draw.uniform(1, 4, 40), np.arange(500), draw.integers(0, 2, 500).astype(float), np.ones(500), first, place, draw.integers(1, 4, len(place)), 0.1, k=7, block=16)
+    index = toxicity.Index("\n".join(words), draw.uniform(1, 4, 40), np.arange(500), draw.integers(0, 2, 500).astype(float), np.ones(500), first, place, draw.integers(1, 4, len(place)), 0.1, k=7, block=16)
     every = dense(index)
     for _ in range(60):
         at, w = index.vector(" ".join(draw.choice(words, 3, replace=False)))
