@@ -43,6 +43,12 @@ def test_round_trip(spark, sf):
     check(rows, packing.pack_documents(docs(spark, rows).repartition(3)).collect())
 
 
+def test_both_libraries_give_the_same_ids(spark, sf):
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    texts += ["", " ", "a<|endoftext|>b", "é 日本語 🙂\r\n\t", "x" * 3000, "\ud800 lone", "don't  12345 'LL", "\u00a0\u3000 z", "\0"]
+    assert packing.public_byte_bpe()()(texts) == packing.tokenizer_file(public_tokenizers.path("byte_bpe_50k.json"))()(texts)
+
+
 def test_empty_and_repeated(spark):
     assert packing.pack_documents(docs(spark, [])).count() == 0
     out = packing.pack_documents(docs(spark, [(1, "a b c"), (1, "a b c"), (None, "z")])).collect()
