@@ -1,8 +1,9 @@
 """Near-duplicate documents by n-gram Jaccard similarity, with Bayesian pruning of candidates.
 
-Documents that share a band of MinHash values hang together in groups of candidates. Within a group, tile by tile, pairs are compared
+Documents that share a band of MinHash values are candidates, each pair in the first band it shares. There, tile by tile, pairs are compared
 sixteen MinHash values at a time; a pair is dropped as soon as the posterior probability that its similarity reaches the threshold is
-below a tolerance. What is left is verified on the whole sets of n-grams.
+below a tolerance. What is left is verified on the whole sets of n-grams: pairs that hang together are dealt out to tiles, and a set goes
+only to tiles in which it has a pair.
 """
 
 from __future__ import annotations
@@ -105,19 +106,74 @@ def common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return total[i, j].astype(np.int64)
 
 
-def _tile(part: pd.DataFrame, least: float, tolerance: float) -> pd.DataFrame:
+def bands_of(signs: np.ndarray) -> np.ndarray:
+    """Signatures as one long a band: 16 bits of each of its values. Equal values stay equal; others are taken for equal once in 65,536 times,
+    which adds candidates and takes none away."""
+    return np.ascontiguousarray(mixed(signs).astype(np.uint16)).view(np.int64)
+
+
+def _spread(linked: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places with a link, and the node of the least place that links lead each of them to."""
+    at = np.flatnonzero(linked.any(axis=1))
+    return at, node[local_roots(linked)[at]]
+
+
+def _matrix(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    linked = np.zeros((n, n), bool)
+    linked[i, j] = linked[j, i] = True
+    return linked
+
+
+def _bucket(part: pd.DataFrame, least: float, tolerance: float) -> pd.DataFrame:
+    """The pairs of a tile of a bucket that share no earlier band and outlive the comparisons, and rows (node, root) that join the same nodes."""
     part = part.sort_values("node", ignore_index=True)
-    sets = [np.frombuffer(x, np.uint64) for x in part["grams"]]
+    bands = np.stack(part["bands"].to_list()).astype(np.int64, copy=False)
     block = part["__block"].to_numpy()
     allowed = np.ones((len(part), len(part)), bool) if part["__i"].iat[0] == part["__j"].iat[0] else block[:, None] != block[None, :]
-    i, j = survivors(signatures(sets), allowed, least, tolerance)
+    for b in range(int(part["k"].iat[0])):
+        allowed &= bands[:, b][:, None] != bands[:, b][None, :]
+    i, j = survivors(np.ascontiguousarray(bands).view(np.uint16), allowed, least, tolerance)
+    node = part["node"].to_numpy()
+    at, root = _spread(_matrix(len(part), i, j), node)
+    return pd.DataFrame({"a": np.concatenate([node[i], node[at]]), "b": np.concatenate([node[j], root]), "pair": np.repeat([True, False], [len(i), len(at)])})
+
+
+def candidates(nodes: DataFrame, least: float, tolerance: float, side: int = 512) -> DataFrame:
+    """nodes (node, bands) to (a, b, pair): each pair of nodes that shares a band and that no comparison drops, once (pair is true), and
+    edges that join the same nodes (pair is false), at most one a node and tile.
+
+    Of buckets with the same members (a count and 128 bits of them) the first has all their pairs, so only that goes on: a pair of near copies
+    travels once and not for each band it shares. A larger bucket is cut into tiles.
+    """
+    keyed = nodes.select("node", F.posexplode("bands").alias("k", "band"))
+    buckets = keyed.groupBy("k", "band").agg(F.count("*").alias("n"), F.min("node").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y")).where("n > 1")
+    first = buckets.groupBy("n", "m", "x", "y").agg(F.min(F.struct("k", "band")).alias("f")).select(F.col("f.k").alias("__k"), F.col("f.band").alias("__b"), F.monotonically_increasing_id().alias("bucket"))
+    first = written(first)
+    members = written(keyed.join(first, (F.col("k") == F.col("__k")) & (F.col("band") == F.col("__b"))).select("bucket", "k", "node"))
+    signed = members.join(nodes.select(F.col("node").alias("__m"), "bands"), F.col("node") == F.col("__m")).drop("__m")
+    keys = ["bucket", "__i", "__j"]
+    dealt = tiles(signed, "bucket", "node", side).repartition(slices(nodes), *keys).sortWithinPartitions(*keys)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in groups(batches, keys):
+            yield _bucket(part, least, tolerance)
+
+    return dealt.mapInPandas(compare, "a long, b long, pair boolean")
+
+
+def _tile(part: pd.DataFrame, least: float) -> pd.DataFrame:
+    """The verified links of a tile's pairs: of each node how many rows it links with, and where its links lead."""
+    of = part[part["grams"].notna()].sort_values("node", ignore_index=True)
+    pairs = part[part["grams"].isna()]
+    node, n = of["node"].to_numpy(np.int64), of["n"].to_numpy(np.int64)
+    sets = [np.frombuffer(x, np.uint64) for x in of["grams"]]
+    i, j = np.searchsorted(node, pairs["node"].to_numpy(np.int64)), np.searchsorted(node, pairs["n"].to_numpy(np.int64))
     size = np.array([len(s) for s in sets])
     both = common(sets, i, j)
     ok = both >= least * (size[i] + size[j] - both) - 1e-9
-    linked = np.zeros_like(allowed)
-    linked[i[ok], j[ok]] = linked[j[ok], i[ok]] = True
-    node, at = part["node"].to_numpy(), np.flatnonzero(linked.any(axis=1))
-    return pd.DataFrame({"node": node[at], "links": (linked[at] @ part["n"].to_numpy()).astype(np.int64), "to": node[local_roots(linked)[at]]})
+    linked = _matrix(len(of), i[ok], j[ok])
+    at, root = _spread(linked, node)
+    return pd.DataFrame({"node": node[at], "links": (linked[at] @ n).astype(np.int64), "to": root})
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, tolerance: float = 1e-8, side: int = 256, bits: int = 64) -> DataFrame:
@@ -130,8 +186,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, toleran
 
     A pair of similarity 0.8 shares none of 24 bands of 4 values with probability 3e-6; the tolerance adds 1e-8 a round.
 
-    Scale: texts are read twice, once for signatures, and again only of one row of each node in a group of candidates. Bands go as
-    two longs; groups are found as components of (member, least member of its band), so a band shared by many costs a row a member.
+    Scale: texts are read twice, once for signatures, and again only of one row of each node that has a candidate. Work is by pairs that
+    outlive the comparisons, not by what bands join: a long chain of part-alike documents costs its own pairs.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -147,12 +203,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, toleran
                 for i in some:
                     other = mixed(sets[i] ^ _SECOND)
                     node[i], second[i] = mixed(np.array([sets[i].sum() + np.uint64(len(sets[i])) ^ np.bitwise_xor.reduce(mixed(sets[i])), other.sum() ^ np.bitwise_xor.reduce(mixed(other))], np.uint64)).view(np.int64) >> (64 - bits, 0)
-                if some:
-                    keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(some), BANDS)).copy()
-                    for r in range(ROWS):
-                        keys = mixed(keys * np.uint64(0xD1342543DE82EF95) + signs[:, r::ROWS])
-                    for i, k in zip(some, keys.view(np.int64), strict=True):
-                        bands[i] = k
+            if some:
+                for i, band in zip(some, bands_of(signs), strict=True):
+                    bands[i] = band
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "tx": batch["tx"], "node": pd.array([int(x) if len(s) else None for x, s in zip(node, sets, strict=True)], "Int64"), "second": second, "bands": bands})
 
     signed = written(base.withColumn("tx", F.xxhash64("text")).mapInPandas(sign, "doc_id long, tx long, node long, second long, bands array<long>"))
@@ -162,27 +215,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, toleran
         joined = signed.join(clash, F.col("node") == F.col("__c"), "left")
         signed = written(joined.withColumn("node", F.when(F.col("lo") < F.col("second"), F.xxhash64("node", "second")).otherwise(F.col("node"))).drop("__c", "lo", "hi"))
     # one row of each node has its bands
-    nodes = written(signed.where("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "tx")).alias("rep")))
-    banded = signed.where("node is not null").select("node", F.explode("bands").alias("band"))
-    least_of = banded.groupBy("band").agg(F.min("node").alias("to"), F.max("node").alias("most")).where("`to` < most").select(F.col("band").alias("b"), "to")
-    near = banded.join(least_of, F.col("band") == F.col("b")).where("node <> `to`").select(F.col("node").alias("a"), F.col("to").alias("b"))
-    group = written(components(near.distinct()))
-    chosen = group.join(nodes.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node")).select("node", F.col("component").alias("group"), "n", F.col("rep.d").alias("__d"), F.col("rep.tx").alias("__t"))
+    nodes = written(signed.where("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "tx")).alias("rep"), F.first("bands").alias("bands")))
+    near = written(candidates(nodes.select("node", "bands"), least, tolerance, 2 * side))
+    group = written(components(near.where("not pair").select("a", "b")))
+    chosen = group.join(nodes.select(F.col("node").alias("__node"), "n", "rep"), F.col("node") == F.col("__node")).select("node", "n", F.col("rep.d").alias("__d"), F.col("rep.tx").alias("__t"))
     texts = base.join(chosen, (F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("__d")) & (F.xxhash64("text") == F.col("__t")))
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[["group", "node", "n"]].assign(grams=[s.tobytes() for s in shingles(batch["text"].tolist(), width)])
-
-    members = texts.select("group", "node", "n", "text").mapInPandas(grams, "group long, node long, n long, grams binary")
-    members = written(members.groupBy("group", "node").agg(F.first("n").alias("n"), F.first("grams").alias("grams")))
+            yield batch[["node", "n"]].assign(grams=[s.tobytes() for s in shingles(batch["text"].tolist(), width)])
+
+    members = texts.select("node", "n", "text").mapInPandas(grams, "node long, n long, grams binary")
+    members = members.groupBy("node").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
+    # pairs are dealt out by their group's blocks, and a node's set to the tiles of its pairs
+    blocks = group.groupBy(F.col("component").alias("__g")).agg(F.ceil(F.count("*") / side).cast("int").alias("__blocks"))
+    placed = group.join(blocks, F.col("component") == F.col("__g")).select(F.col("node").alias("__n"), "component", "__blocks")
+    block = lambda of: F.pmod(F.xxhash64(of, F.lit(5)), F.col("__blocks")).cast("int")
     keys = ["group", "__i", "__j"]
+    pairs = near.where("pair").join(placed, F.col("a") == F.col("__n"))
+    pairs = written(pairs.select(F.col("component").alias("group"), F.least(block("a"), block("b")).alias("__i"), F.greatest(block("a"), block("b")).alias("__j"), "a", "b"))
+    asked = pairs.select(*keys, F.col("a").alias("__m")).unionByName(pairs.select(*keys, F.col("b").alias("__m"))).distinct()
+    sets = asked.join(members, F.col("__m") == F.col("node")).select(*keys, "node", "n", "grams")
     parts = slices(docs)
-    dealt = tiles(members, "group", "node", side).repartition(parts, *keys).sortWithinPartitions(*keys)
+    dealt = sets.unionByName(pairs.select(*keys, F.col("a").alias("node"), F.col("b").alias("n"), F.lit(None).cast("binary").alias("grams"))).repartition(parts, *keys).sortWithinPartitions(*keys)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in groups(batches, keys):
-            yield _tile(part, least, tolerance)
+            yield _tile(part, least)
 
     found = written(dealt.mapInPandas(compare, "node long, links long, to long"))
     joined = components(found.select(F.col("node").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "__c")
