@@ -2,8 +2,8 @@
 
 Documents that share a band of MinHash values are candidates, each pair in the first band it shares. There, tile by tile, pairs are compared
 sixteen MinHash values at a time; a pair is dropped as soon as the posterior probability that its similarity reaches the threshold is
-below a tolerance. What is left is verified on the whole sets of n-grams: pairs that hang together are dealt out to tiles, and a set goes
-only to tiles in which it has a pair.
+below a tolerance. What is left is verified on the whole sets of n-grams: what hangs together is cut into tiles, and a set goes only to
+tiles in which it has a partner.
 """
 
 from __future__ import annotations
@@ -112,10 +112,15 @@ def bands_of(signs: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(mixed(signs).astype(np.uint16)).view(np.int64)
 
 
-def _spread(linked: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places with a link, and the node of the least place that links lead each of them to."""
-    at = np.flatnonzero(linked.any(axis=1))
-    return at, node[local_roots(linked)[at]]
+def cells(nodes: np.ndarray) -> np.ndarray:
+    """31 bits of each node, whose first bits are its block in a group that is cut into blocks."""
+    return (mixed(nodes.astype(np.int64).view(np.uint64) ^ _SECOND) >> np.uint64(33)).astype(np.int32)
+
+
+def _allowed(part: pd.DataFrame) -> np.ndarray:
+    """Which pairs are a tile's own: all within one block, else those of its two blocks."""
+    block = part["__block"].to_numpy()
+    return np.ones((len(part), len(part)), bool) if part["__i"].iat[0] == part["__j"].iat[0] else block[:, None] != block[None, :]
 
 
 def _matrix(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -125,25 +130,24 @@ def _matrix(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _bucket(part: pd.DataFrame, least: float, tolerance: float) -> pd.DataFrame:
-    """The pairs of a tile of a bucket that share no earlier band and outlive the comparisons, and rows (node, root) that join the same nodes."""
+    """Of a tile of a bucket the nodes with partners: pairs that share no earlier band and that no comparison drops."""
     part = part.sort_values("node", ignore_index=True)
     bands = np.stack(part["bands"].to_list()).astype(np.int64, copy=False)
-    block = part["__block"].to_numpy()
-    allowed = np.ones((len(part), len(part)), bool) if part["__i"].iat[0] == part["__j"].iat[0] else block[:, None] != block[None, :]
+    allowed = _allowed(part)
     for b in range(int(part["k"].iat[0])):
         allowed &= bands[:, b][:, None] != bands[:, b][None, :]
-    i, j = survivors(np.ascontiguousarray(bands).view(np.uint16), allowed, least, tolerance)
-    node = part["node"].to_numpy()
-    at, root = _spread(_matrix(len(part), i, j), node)
-    return pd.DataFrame({"a": np.concatenate([node[i], node[at]]), "b": np.concatenate([node[j], root]), "pair": np.repeat([True, False], [len(i), len(at)])})
+    linked = _matrix(len(part), *survivors(np.ascontiguousarray(bands).view(np.uint16), allowed, least, tolerance))
+    node, at = part["node"].to_numpy(), np.flatnonzero(linked.any(axis=1))
+    cell = cells(node)
+    return pd.DataFrame({"node": node[at], "root": node[local_roots(linked)[at]], "own": cell[at], "others": pd.Series([cell[linked[x]] for x in at], dtype=object)})
 
 
 def candidates(nodes: DataFrame, least: float, tolerance: float, side: int = 512) -> DataFrame:
-    """nodes (node, bands) to (a, b, pair): each pair of nodes that shares a band and that no comparison drops, once (pair is true), and
-    edges that join the same nodes (pair is false), at most one a node and tile.
+    """nodes (node, bands) to (node, root, own, others): the partners of a node are the nodes that share a band with it and that no comparison
+    drops; each is in one row's `others`, by its cell. own is the node's cell; rows (node, root) join what partners join. A row a node and tile.
 
-    Of buckets with the same members (a count and 128 bits of them) the first has all their pairs, so only that goes on: a pair of near copies
-    travels once and not for each band it shares. A larger bucket is cut into tiles.
+    Of buckets with the same members (a count and 128 bits of them) the first has all their pairs, so only that goes on: near copies
+    travel once and not for each band they share. A larger bucket is cut into tiles.
     """
     keyed = nodes.select("node", F.posexplode("bands").alias("k", "band"))
     buckets = keyed.groupBy("k", "band").agg(F.count("*").alias("n"), F.min("node").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y")).where("n > 1")
@@ -158,22 +162,21 @@ def candidates(nodes: DataFrame, least: float, tolerance: float, side: int = 512
         for part in groups(batches, keys):
             yield _bucket(part, least, tolerance)
 
-    return dealt.mapInPandas(compare, "a long, b long, pair boolean")
+    return dealt.mapInPandas(compare, "node long, root long, own int, others array<int>")
 
 
-def _tile(part: pd.DataFrame, least: float) -> pd.DataFrame:
-    """The verified links of a tile's pairs: of each node how many rows it links with, and where its links lead."""
-    of = part[part["grams"].notna()].sort_values("node", ignore_index=True)
-    pairs = part[part["grams"].isna()]
-    node, n = of["node"].to_numpy(np.int64), of["n"].to_numpy(np.int64)
-    sets = [np.frombuffer(x, np.uint64) for x in of["grams"]]
-    i, j = np.searchsorted(node, pairs["node"].to_numpy(np.int64)), np.searchsorted(node, pairs["n"].to_numpy(np.int64))
+def _tile(part: pd.DataFrame, least: float, tolerance: float) -> pd.DataFrame:
+    """A tile's links, verified on whole sets: of each node how many rows it links with, and where its links lead."""
+    part = part.sort_values("node", ignore_index=True)
+    sets = [np.frombuffer(x, np.uint64) for x in part["grams"]]
+    signs = np.stack(part["bands"].to_list()).astype(np.int64, copy=False)
+    i, j = survivors(np.ascontiguousarray(signs).view(np.uint16), _allowed(part), least, tolerance)
     size = np.array([len(s) for s in sets])
     both = common(sets, i, j)
     ok = both >= least * (size[i] + size[j] - both) - 1e-9
-    linked = _matrix(len(of), i[ok], j[ok])
-    at, root = _spread(linked, node)
-    return pd.DataFrame({"node": node[at], "links": (linked[at] @ n).astype(np.int64), "to": root})
+    linked = _matrix(len(part), i[ok], j[ok])
+    node, at = part["node"].to_numpy(), np.flatnonzero(linked.any(axis=1))
+    return pd.DataFrame({"node": node[at], "links": (linked[at] @ part["n"].to_numpy()).astype(np.int64), "to": node[local_roots(linked)[at]]})
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, tolerance: float = 1e-8, side: int = 256, bits: int = 64) -> DataFrame:
@@ -217,31 +220,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, toleran
     # one row of each node has its bands
     nodes = written(signed.where("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "tx")).alias("rep"), F.first("bands").alias("bands")))
     near = written(candidates(nodes.select("node", "bands"), least, tolerance, 2 * side))
-    group = written(components(near.where("not pair").select("a", "b")))
-    chosen = group.join(nodes.select(F.col("node").alias("__node"), "n", "rep"), F.col("node") == F.col("__node")).select("node", "n", F.col("rep.d").alias("__d"), F.col("rep.tx").alias("__t"))
+    group = written(components(near.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    chosen = group.join(nodes.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node")).select("node", "n", "bands", F.col("rep.d").alias("__d"), F.col("rep.tx").alias("__t"))
     texts = base.join(chosen, (F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("__d")) & (F.xxhash64("text") == F.col("__t")))
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[["node", "n"]].assign(grams=[s.tobytes() for s in shingles(batch["text"].tolist(), width)])
-
-    members = texts.select("node", "n", "text").mapInPandas(grams, "node long, n long, grams binary")
-    members = members.groupBy("node").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
-    # pairs are dealt out by their group's blocks, and a node's set to the tiles of its pairs
-    blocks = group.groupBy(F.col("component").alias("__g")).agg(F.ceil(F.count("*") / side).cast("int").alias("__blocks"))
-    placed = group.join(blocks, F.col("component") == F.col("__g")).select(F.col("node").alias("__n"), "component", "__blocks")
-    block = lambda of: F.pmod(F.xxhash64(of, F.lit(5)), F.col("__blocks")).cast("int")
+            yield batch[["node", "n", "bands"]].assign(grams=[s.tobytes() for s in shingles(batch["text"].tolist(), width)])
+
+    members = texts.select("node", "n", "bands", "text").mapInPandas(grams, "node long, n long, bands array<long>, grams binary")
+    members = members.groupBy(F.col("node").alias("__m")).agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("grams").alias("grams"))
+    # a group is cut into blocks by its nodes' cells, and a node's set goes to the tiles of its block and those that have a partner of it
+    cut = group.groupBy(F.col("component").alias("__g")).agg((31 - F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / side)))).cast("int").alias("__bits"))
+    placed = group.join(cut, F.col("component") == F.col("__g")).select(F.col("node").alias("__n"), F.col("component").alias("group"), "__bits")
+    block = lambda cell: F.call_function("shiftright", cell.cast("long"), F.col("__bits")).cast("int")
+    reach = near.join(placed, F.col("node") == F.col("__n")).select("group", "node", block(F.col("own")).alias("__block"), F.array_distinct(F.transform("others", block)).alias("__others"))
+    reach = reach.groupBy("group", "node", "__block").agg(F.array_distinct(F.flatten(F.collect_list("__others"))).alias("__others"))
+    asked = reach.select("group", "node", "__block", F.explode("__others").alias("__o")).select("group", F.least("__block", "__o").alias("__i"), F.greatest("__block", "__o").alias("__j"), "__block", "node")
     keys = ["group", "__i", "__j"]
-    pairs = near.where("pair").join(placed, F.col("a") == F.col("__n"))
-    pairs = written(pairs.select(F.col("component").alias("group"), F.least(block("a"), block("b")).alias("__i"), F.greatest(block("a"), block("b")).alias("__j"), "a", "b"))
-    asked = pairs.select(*keys, F.col("a").alias("__m")).unionByName(pairs.select(*keys, F.col("b").alias("__m"))).distinct()
-    sets = asked.join(members, F.col("__m") == F.col("node")).select(*keys, "node", "n", "grams")
     parts = slices(docs)
-    dealt = sets.unionByName(pairs.select(*keys, F.col("a").alias("node"), F.col("b").alias("n"), F.lit(None).cast("binary").alias("grams"))).repartition(parts, *keys).sortWithinPartitions(*keys)
+    dealt = asked.join(members, F.col("__m") == F.col("node")).drop("__m").repartition(parts, *keys).sortWithinPartitions(*keys)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in groups(batches, keys):
-            yield _tile(part, least)
+            yield _tile(part, least, tolerance)
 
     found = written(dealt.mapInPandas(compare, "node long, links long, to long"))
     joined = components(found.select(F.col("node").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "__c")

@@ -84,15 +84,21 @@ def test_empty_and_rules(spark):
     assert list(zip(i.tolist(), j.tolist(), strict=True)) == [(0, 1)]
 
 
+def partners(found, n):
+    of = {int(c): i for i, c in enumerate(jaccard.cells(np.arange(n)))}
+    rows = found.collect()
+    assert len(of) == n and all(of[r.own] == r.node for r in rows)
+    return [(r.node, of[c]) for r in rows for c in r.others]
+
+
 def test_long_chain_stays_linear(spark):
     """Texts that are alike with their neighbours only, so bands join all of them: pairs grow with the texts, not with their square."""
     words = [f"c{k}" for k in range(30 * 700 + 200)]
     texts = [" ".join(words[30 * i : 30 * i + 200]) for i in range(700)]
     bands = jaccard.bands_of(jaccard.signatures(jaccard.shingles(texts)))
     nodes = spark.createDataFrame([(i, [int(x) for x in b]) for i, b in enumerate(bands)], "node long, bands array<long>")
-    found = jaccard.candidates(nodes, 0.8, 1e-8).collect()
-    pairs = [(r.a, r.b) for r in found if r.pair]
-    assert len(set(pairs)) == len(pairs) and 100 < len(pairs) < 3 * 700 and max(b - a for a, b in pairs) <= 3
+    pairs = partners(jaccard.candidates(nodes, 0.8, 1e-8), len(texts))
+    assert len(set(pairs)) == len(pairs) and 100 < len(pairs) < 6 * 700 and max(b - a for a, b in pairs) <= 3
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert all(r.class_id == r.doc_id and not r.n_links for r in jaccard.near_duplicates(docs, side=16).collect())
 
@@ -101,5 +107,5 @@ def test_equal_buckets_lose_no_pair(spark):
     """Every pair that shares a band is found once, although equal buckets and all but the first shared band are left out."""
     draw = random.Random(3)
     rows = [(i, [draw.randrange(3) for _ in range(jaccard.BANDS)] if i % 3 else [0] * jaccard.BANDS) for i in range(60)]
-    found = jaccard.candidates(spark.createDataFrame(rows, "node long, bands array<long>"), 0.0, 0.0, side=8).where("pair").collect()
-    assert sorted((r.a, r.b) for r in found) == [(a, b) for a in range(60) for b in range(a + 1, 60) if any(x == y for x, y in zip(rows[a][1], rows[b][1], strict=True))]
+    found = partners(jaccard.candidates(spark.createDataFrame(rows, "node long, bands array<long>"), 0.0, 0.0, side=8), 60)
+    assert sorted(found) == [(a, b) for a in range(60) for b in range(60) if a != b and any(x == y for x, y in zip(rows[a][1], rows[b][1], strict=True))]
