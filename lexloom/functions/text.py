@@ -117,9 +117,14 @@ def is_numeric(c: Column) -> Column:
     return F.coalesce(c.rlike(NUMERIC), F.lit(False))
 
 
-def is_stop_word(c: Column) -> Column:
-    """C-15: a function word in any case, a number, or empty."""
-    return F.coalesce((c == "") | F.lower(c).isin(*STOP_WORDS) | is_numeric(c), F.lit(True))
+#: U10 (own definition): Japanese particles, auxiliaries, pronouns and formal nouns.
+JAPANESE_STOP_WORDS = tuple("の に は を が と で も や へ か ね よ な から まで より だ です ます ない たい れる られる せる させる する いる ある なる こと もの ため よう これ それ あれ この その あの ここ そこ 私 僕 彼 彼女 誰 何".split())
+
+
+def is_stop_word(c: Column, language: str = "en") -> Column:
+    """C-15, U10: a function word of the language (en or ja) in any case, a number, or empty; of other languages numbers only."""
+    words = {"en": STOP_WORDS, "ja": JAPANESE_STOP_WORDS}.get(language, ())
+    return F.coalesce((c == "") | F.lower(c).isin(*words) | is_numeric(c), F.lit(True))
 
 
 def is_content(c: Column) -> Column:

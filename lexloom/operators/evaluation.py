@@ -70,13 +70,62 @@ def sample_set(records: DataFrame, set_id: str, seed: int, n_quantiles: int = 20
     return every.join(in_main, F.col("headword") == F.col("__h"), "left").withColumn("is_duplicate", (F.col("__h").isNotNull() & (F.col("layer") != "main")).cast("long")).drop("__h")
 
 
+def sample_summary(samples: DataFrame, per_quantile: int, scanned: DataFrame | None = None) -> DataFrame:
+    """E-17: what, name, n: rows by layer and in total; with scanned (quantile) also how many rows each quantile has and how many of them fill it."""
+    none = F.lit(None).cast("string")
+    out = samples.groupBy(F.col("layer").alias("name")).agg(F.count("*").alias("n")).select(F.lit("layer").alias("what"), "name", "n")
+    out = out.unionByName(samples.agg(F.count("*").alias("n")).select(F.lit("total").alias("what"), none.alias("name"), "n"))
+    if scanned is None:
+        return out
+    sizes = scanned.where("quantile is not null").groupBy(F.col("quantile").cast("string").alias("name")).agg(F.count("*").alias("n"))
+    return out.unionByName(sizes.select(F.lit("quantile_size").alias("what"), "name", "n")).unionByName(sizes.select(F.lit("quantile_fill").alias("what"), "name", F.least("n", F.lit(per_quantile).cast("long")).alias("n")))
+
+
+def replace_set(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """B-07, B-11: stored samples without the sets that new ones bring, and the new ones."""
+    return stored.join(new.select("set_id").distinct(), "set_id", "left_anti").unionByName(new)
+
+
+def sampled_records(samples: DataFrame, records: DataFrame) -> DataFrame:
+    """J-18: samples with the first entry of their headword; headwords that are no key have no row."""
+    first = records.where("entry_idx = 0").drop("entry_idx", *[c for c in samples.columns if c in records.columns])
+    return samples.join(first, T.normalized(F.col("headword")) == F.col("key"))
+
+
+# Senses that an example tells apart
+
+
+def sense_example(c: Column) -> Column:
+    """F-08: what follows e.g.: in a sense's text, up to [-] or the end; empty if there is none."""
+    return T.strip(F.regexp_extract(F.coalesce(c, F.lit("")), rf"(?s)e\.g\.:{T.SPACE}*(.*?)(?=\[-\]|\z)", 1))
+
+
+def usable_senses(word: Column, senses: Column) -> Column:
+    """F-08: array of struct(index, example, translations): the senses with translations and an example that holds the word
+    as a whole. Translations are normalised but for compatibility characters, which no built-in function folds within an array."""
+    whole = F.concat(F.lit(r"(?iU)\b"), quoted(word), F.lit(r"\b"))
+    each = F.transform(senses, lambda s, i: F.struct(i.alias("index"), sense_example(s["text"]).alias("example"), F.array_sort(F.array_distinct(F.transform(s["translations"], lambda t: J.normalized(t, False)))).alias("translations")))
+    return F.filter(each, lambda s: (s["example"] != "") & F.call_function("rlike", s["example"], whole) & (F.size(s["translations"]) > 0))
+
+
+def polysemous(records: DataFrame, min_senses: int = 3, min_length: int = 4, min_rank: int = 3000) -> DataFrame:
+    """C-24: word, freq_rank, usable: content words past the head of the list, with senses enough, whose first two usable senses differ in translations."""
+    fit = records.where(F.col("word").rlike("^[A-Za-z-]+$") & (F.size("translations") > 0) & (F.col("n_senses") >= min_senses) & (F.char_length("word") >= min_length) & (F.col("freq_rank") >= min_rank))
+    each = fit.where(~T.is_stop_word(F.lower("word"))).select("word", "freq_rank", usable_senses(F.col("word"), F.col("senses")).alias("usable"))
+    return each.where((F.size("usable") >= 2) & (F.col("usable")[0]["translations"] != F.col("usable")[1]["translations"]))
+
+
 # Prompts and probes
 
 
+def quoted(word: Column) -> Column:
+    """The word as a pattern that matches just it."""
+    return F.regexp_replace(word, r"([^0-9A-Za-z\s\x{80}-\x{10FFFF}_])", r"\\$1")
+
+
 def target_pattern(word: Column) -> Column:
     """The headword, with or without a tail, between word edges, in any case."""
-    safe = F.regexp_replace(word, r"([^0-9A-Za-z\s\x{80}-\x{10FFFF}_])", r"\\$1")
-    return F.concat(F.lit(r"(?i)\b(?:"), safe, F.lit(")(?:" + "|".join(TAILS) + r")?\b"))
+    return F.concat(F.lit(r"(?i)\b(?:"), quoted(word), F.lit(")(?:" + "|".join(TAILS) + r")?\b"))
 
 
 def select_context(word: Column, examples: Column, any_sentence: bool = False) -> Column:
@@ -253,6 +302,30 @@ def audit_key(probe_id: Column, word: Column, output: Column, model_id: Column)
     return F.sha2(F.concat_ws("|", probe_id.cast("string"), word, F.coalesce(output, F.lit("")), model_id, F.lit(AUDIT)), 256)
 
 
+def context_of(parsed: Column) -> Column:
+    """F-33: the sentence in a probe's JSON; null if there is none or the JSON is bad."""
+    return F.get_json_object(parsed, "$.sentence")
+
+
+def pending_audits(tasks: DataFrame, probes: DataFrame) -> DataFrame:
+    """J-11: task_id, probe_id, headword, raw_output, context of the audits that wait and whose probe is there."""
+    p = probes.select(F.col("id").alias("__p"), "headword", "raw_output", context_of(F.col("parsed_json")).alias("context"))
+    return tasks.where("status = 'pending'").join(p, F.col("probe_id") == F.col("__p")).select(F.col("id").alias("task_id"), "probe_id", "headword", "raw_output", "context")
+
+
+def audited(tasks: DataFrame, probes: DataFrame, judgments: DataFrame, task: str = "P1") -> DataFrame:
+    """A-17: headword, output, label, accept: audited answers to `task`, those accepted or rejected, a row for each judgment of a probe."""
+    done = tasks.where("status = 'done' and result is not null").select("probe_id", F.get_json_object("result", "$.verdict").alias("__v")).where(F.col("__v").isin("accept", "reject"))
+    p = probes.where(F.col("task") == task).select(F.col("id").alias("__p"), "headword", F.col("raw_output").alias("output"))
+    j = judgments.select(F.col("probe_id").alias("__j"), "label")
+    return done.join(p, F.col("probe_id") == F.col("__p")).join(j, F.col("probe_id") == F.col("__j")).select("headword", "output", "label", (F.col("__v") == "accept").alias("accept"))
+
+
+def fallback_share(judged: DataFrame) -> DataFrame:
+    """E-18: quantile, n, w1_share: how many probes of each quantile had no sentence."""
+    return judged.where("quantile is not null").groupBy("quantile").agg(F.count("*").alias("n"), F.round(F.avg((F.col("task") == "W1").cast("double")), 4).alias("w1_share"))
+
+
 def audit_summary(tasks: DataFrame, judgments: DataFrame, version: str | None = JUDGE) -> DataFrame:
     """E-09, J-12: one row: audited, audited_kp, audited_xu, agreement, recovery. version=None counts a probe for each of its judgments."""
     j = judgments if version is None else judgments.where(F.col("judge_ver") == version)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scoring as S
 from ..functions import text as T
 
 RECORD = """array<struct<word:string,pronunciation:string,probability:string,translation:array<string>,related:array<string>,
@@ -137,3 +138,25 @@ def phrases(asked: DataFrame, records: DataFrame) -> DataFrame:
     before, after = T.normalized(F.coalesce("prefix", F.lit(""))), T.normalized(F.coalesce("suffix", F.lit("")))
     fits = F.col("key").contains(F.concat(before, F.when(before != "", F.lit(" ")).otherwise(""), F.col("__core"), F.when(after != "", F.lit(" ")).otherwise(""), after))
     return found.where(fits).drop("__core", "__words", "__w")
+
+
+def raw_json(words: DataFrame, raw: DataFrame) -> DataFrame:
+    """A-19: words (word; other columns stay) with the stored JSON of their key; null for words that are no key."""
+    stored = raw.select(F.col("key").alias("__key"), "raw")
+    return words.join(stored, T.normalized(F.col("word")) == F.col("__key"), "left").drop("__key")
+
+
+def compact(records: DataFrame, limit: int | None = None) -> DataFrame:
+    """B-05: key, entry_idx and the entry as short JSON: 20 translations and 10 related words, or `limit` of each; no pronunciation if there is none."""
+    spoken = F.when(F.col("pronunciation") != "", F.col("pronunciation"))
+    entry = F.struct("word", F.slice("own", 1, limit or 20).alias("translation"), F.slice("related", 1, limit or 10).alias("related"), spoken.alias("pronunciation"), F.col("prob").alias("probability"))
+    return records.select("key", "entry_idx", F.to_json(entry).alias("json"))
+
+
+FIELDS = ("key", "word", "freq_rank", "prob", "log_freq", "pos", "pos_list", "n_senses", "translations", "senses", "examples", "related", "cooccurrence", "domain", "pronunciation", "probability_floor")
+
+
+def as_json(records: DataFrame) -> DataFrame:
+    """B-15: key, entry_idx, n_examples and the whole record as JSON; the domain is worked out where records have none."""
+    own = records if "domain" in records.columns else records.withColumn("domain", S.domain(F.col("word"), F.col("senses")))
+    return own.select("key", "entry_idx", F.size("examples").alias("n_examples"), F.to_json(F.struct(*FIELDS), {"ignoreNullFields": "false"}).alias("json"))

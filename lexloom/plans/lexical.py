@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 
 from pyspark.sql import functions as F
 
@@ -263,5 +265,38 @@ J09 = """WITH k AS (SELECT DISTINCT lower(trim(s)) AS key FROM (SELECT unnest(st
  a(core, suffix) AS (VALUES ('the', NULL), ('of', 'the'), ('and', NULL)), w AS (SELECT key, string_split_regex(key, '[ -]') AS ws FROM k)
 SELECT core, suffix, key FROM w JOIN a ON list_contains(ws, core) WHERE len(ws) > 1 AND contains(key, core || coalesce(' ' || suffix, ''))"""
 
-QUERIES = {"a08_freq_rank": a08, **{n: search(m, p) for n, (m, p, _) in MODES.items()}, "w09_edit_topk": w09, "j05_reverse": j05, "j06_gloss_set": j06, "j07_synonyms": j07, "j08_expand_glosses": j08, "a11_headword_record": a11, "j06_fixture_glosses": j06_fixture, "j01_lookup": j01, "j04_sidecar_lookup": j04, "j09_phrases": j09, "f17_base_frequency": f17, "f18_domain_match": f18, "f19_features": f19, "f20_cosine": f20, "e06_guess_domain": e06, "q02_context_features": q02, "q03_resolve": q03, "q04_enrich": q04, "b03_hints": b03, "q08_tool_answer": q08}
-ORACLE_SQL = {"a08_freq_rank": A08, **{n: search_sql(c) for n, (_, _, c) in MODES.items()}, "w09_edit_topk": W09, "j05_reverse": f"WITH {SYN} SELECT * FROM rev", "j06_gloss_set": f"WITH {LINKS} SELECT word, rank, pos, gloss FROM links", "j07_synonyms": f"WITH {SYN} SELECT * FROM syn", "j08_expand_glosses": J08, "a11_headword_record": A11, "j06_fixture_glosses": J06F, "j01_lookup": J01, "j04_sidecar_lookup": J04, "j09_phrases": J09, "f17_base_frequency": F17, "f18_domain_match": F18, "f19_features": F19, "f20_cosine": F20, "e06_guess_domain": _e06()}
+
+
+def words(spark):
+    return spark.createDataFrame([(w,) for w in V.WORDS], "word string")
+
+
+def a19(spark, sf):
+    return L.raw_json(words(spark), V.raw_lexicon(spark)).select("word", "raw")
+
+
+A19 = f"""WITH {V.values('w', 'word', [(w,) for w in V.WORDS])}, {V.values('r', 'key, raw', [(k, json.dumps(e, ensure_ascii=False)) for k, e in V.LEXICON])}
+SELECT word, raw FROM w LEFT JOIN r ON key = trim(lower(word))"""
+
+
+def b05(spark, sf):
+    """The compact JSON read again."""
+    e = F.from_json("json", "word string, translation array<string>, related array<string>, pronunciation string, probability double").alias("e")
+    return L.compact(records(spark), 2).select("key", "entry_idx", e).select("key", "entry_idx", "e.word", F.array_join("e.translation", "|").alias("translation"), F.array_join("e.related", "|").alias("related"), "e.pronunciation", "e.probability")
+
+
+B05 = f"""WITH {REC} SELECT key, entry_idx, word, array_to_string(own[1:2], '|') AS translation, array_to_string(related[1:2], '|') AS related, nullif(pronunciation, '') AS pronunciation, prob::double AS probability FROM rec"""
+
+
+def b15(spark, sf):
+    """The record's JSON read again."""
+    j = L.as_json(records(spark))
+    return j.select("key", "entry_idx", F.array_join(F.json_object_keys("json"), " ").alias("fields"), F.get_json_object("json", "$.n_senses").cast("int").alias("n_senses"), F.json_array_length(F.get_json_object("json", "$.related")).alias("n_related"), F.get_json_object("json", "$.domain").alias("domain"))
+
+
+def _b15() -> str:
+    return f"WITH d AS ({_e06()}), r AS (WITH {REC} SELECT * FROM rec) SELECT key, entry_idx, '{' '.join(L.FIELDS)}' AS fields, n_senses::int AS n_senses, len(related)::int AS n_related, domain FROM r JOIN d USING (key, entry_idx)"
+
+
+QUERIES = {"a08_freq_rank": a08, **{n: search(m, p) for n, (m, p, _) in MODES.items()}, "w09_edit_topk": w09, "j05_reverse": j05, "j06_gloss_set": j06, "j07_synonyms": j07, "j08_expand_glosses": j08, "a11_headword_record": a11, "j06_fixture_glosses": j06_fixture, "j01_lookup": j01, "j04_sidecar_lookup": j04, "j09_phrases": j09, "f17_base_frequency": f17, "f18_domain_match": f18, "f19_features": f19, "f20_cosine": f20, "e06_guess_domain": e06, "q02_context_features": q02, "q03_resolve": q03, "q04_enrich": q04, "b03_hints": b03, "q08_tool_answer": q08, "a19_raw_json": a19, "b05_compact": b05, "b15_record_json": b15}
+ORACLE_SQL = {"a08_freq_rank": A08, **{n: search_sql(c) for n, (_, _, c) in MODES.items()}, "w09_edit_topk": W09, "j05_reverse": f"WITH {SYN} SELECT * FROM rev", "j06_gloss_set": f"WITH {LINKS} SELECT word, rank, pos, gloss FROM links", "j07_synonyms": f"WITH {SYN} SELECT * FROM syn", "j08_expand_glosses": J08, "a11_headword_record": A11, "j06_fixture_glosses": J06F, "j01_lookup": J01, "j04_sidecar_lookup": J04, "j09_phrases": J09, "f17_base_frequency": F17, "f18_domain_match": F18, "f19_features": F19, "f20_cosine": F20, "e06_guess_domain": _e06(), "a19_raw_json": A19, "b05_compact": B05, "b15_record_json": _b15()}

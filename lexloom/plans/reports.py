@@ -282,5 +282,55 @@ def f35(spark, sf):
     return r.select("key", F.explode(F.concat("own", F.array(F.lit(""), F.lit("別")))).alias("answer"), first.alias("intended"), rest.alias("others")).select("key", "answer", E.sense_verdict(F.col("answer"), J.variants(F.col("answer")), F.col("intended"), F.col("others")).alias("verdict"))
 
 
-QUERIES = {"w02_quantiles": w02, "w03_casefold_dedupe": w03, "w04_stratified_sample": w04, "q09_sample_set": q09, "f28_mark_target": f28, "f29_build_probe": f29, "j15_probe_cache": j15, "f10_ja_normalize": f10, "f14_variants": f14, "f34_classify": f34, "f31_verdict": f31, "q11_judge": q11, "j14_load_judgments": j14, "w05_audit_queue": w05, "e07_curve": e07, "e08_overall": e08, "e09_audit_summary": e09, "e09_labels": e09_labels, "e10_adjusted_curve": e10, "e11_dict_stats": e11, "e11_top_values": e11_tags, "e12_field_profile": e12, "e13_run_summary": e13, "e14_counters": e14, "e15_rule_eval": e15, "e16_tally": e16, "b10_meta_upsert": b10, "f35_sense_verdict": f35}
-ORACLE_SQL = {"w02_quantiles": W02, "w03_casefold_dedupe": W03, "w04_stratified_sample": W04, "f28_mark_target": F28, "f29_build_probe": F29, "j15_probe_cache": J15, "f10_ja_normalize": F10, "f14_variants": F14, "f34_classify": F34, "f31_verdict": F31, "j14_load_judgments": f"WITH {LOADED} SELECT * FROM l", "w05_audit_queue": W05, "e07_curve": E07, "e08_overall": E08, "e09_audit_summary": E09, "e09_labels": E09L, "e10_adjusted_curve": E10, "e11_top_values": E11T, "e12_field_profile": E12, "e13_run_summary": E13, "e14_counters": E14, "e15_rule_eval": E15, "e16_tally": E16, "b10_meta_upsert": B10}
+
+
+TSK = V.values("t", "id, probe_id, status, result", V.TASKS)
+
+
+def probes_with_context(spark):
+    return V.probes(spark).withColumn("parsed_json", F.when(F.col("id") % 3 == 0, F.concat(F.lit('{"sentence": "of '), "headword", F.lit('"}'))).when(F.col("id") % 3 == 1, "{bad"))
+
+
+def j11(spark, sf):
+    return E.pending_audits(V.tasks(spark), probes_with_context(spark))
+
+
+J11 = f"WITH {TSK}, {PRO} SELECT t.id AS task_id, probe_id, headword, raw_output, CASE WHEN p.id % 3 = 0 THEN 'of ' || headword END AS context FROM t JOIN p ON p.id = probe_id WHERE status = 'pending'"
+
+
+def a17(spark, sf):
+    return E.audited(V.tasks(spark), V.probes(spark), V.judgments(spark))
+
+
+A17 = f"""WITH {TSK}, {PRO}, {JUD} SELECT headword, raw_output AS output, label, result->>'$.verdict' = 'accept' AS accept FROM t JOIN p ON p.id = t.probe_id JOIN j ON j.probe_id = t.probe_id
+WHERE status = 'done' AND result IS NOT NULL AND p.task = 'P1' AND result->>'$.verdict' IN ('accept', 'reject')"""
+
+
+def j18(spark, sf):
+    return E.sampled_records(V.samples(spark), records(spark)).select("headword", "layer", "quantile", "key", "freq_rank")
+
+
+_KEYS = V.values("k", "key, freq_rank", [(k, i) for i, (k, _) in enumerate(V.LEXICON)])
+J18 = f"WITH {SAM}, {_KEYS} SELECT headword, layer, quantile, key, freq_rank FROM s JOIN k ON key = lower(headword)"
+
+
+def e17(spark, sf):
+    """Customers as samples, their segments being layers, out of all those of a nation as quantiles."""
+    c = read(spark, sf, "customer")
+    return E.sample_summary(c.where("c_acctbal > 0").select(F.col("c_mktsegment").alias("layer")), 10, c.select(F.col("c_nationkey").alias("quantile")))
+
+
+E17 = """WITH q AS (SELECT c_nationkey::text AS name, count(*) AS n FROM customer GROUP BY 1), s AS (SELECT * FROM customer WHERE c_acctbal > 0)
+SELECT 'layer' AS what, c_mktsegment AS name, count(*) AS n FROM s GROUP BY ALL UNION ALL SELECT 'total', NULL, count(*) FROM s
+UNION ALL SELECT 'quantile_size', name, n FROM q UNION ALL SELECT 'quantile_fill', name, least(n, 10) FROM q"""
+
+
+def e18(spark, sf):
+    return E.fallback_share(loaded(spark))
+
+
+E18 = f"WITH {LOADED} SELECT quantile, count(*) AS n, round(avg((task = 'W1')::int), 4) AS w1_share FROM l WHERE quantile IS NOT NULL GROUP BY quantile"
+
+
+QUERIES = {"j11_pending_audits": j11, "a17_audited": a17, "j18_sampled_records": j18, "e17_sample_summary": e17, "e18_fallback_share": e18, "w02_quantiles": w02, "w03_casefold_dedupe": w03, "w04_stratified_sample": w04, "q09_sample_set": q09, "f28_mark_target": f28, "f29_build_probe": f29, "j15_probe_cache": j15, "f10_ja_normalize": f10, "f14_variants": f14, "f34_classify": f34, "f31_verdict": f31, "q11_judge": q11, "j14_load_judgments": j14, "w05_audit_queue": w05, "e07_curve": e07, "e08_overall": e08, "e09_audit_summary": e09, "e09_labels": e09_labels, "e10_adjusted_curve": e10, "e11_dict_stats": e11, "e11_top_values": e11_tags, "e12_field_profile": e12, "e13_run_summary": e13, "e14_counters": e14, "e15_rule_eval": e15, "e16_tally": e16, "b10_meta_upsert": b10, "f35_sense_verdict": f35}
+ORACLE_SQL = {"j11_pending_audits": J11, "a17_audited": A17, "j18_sampled_records": J18, "e17_sample_summary": E17, "e18_fallback_share": E18, "w02_quantiles": W02, "w03_casefold_dedupe": W03, "w04_stratified_sample": W04, "f28_mark_target": F28, "f29_build_probe": F29, "j15_probe_cache": J15, "f10_ja_normalize": F10, "f14_variants": F14, "f34_classify": F34, "f31_verdict": F31, "j14_load_judgments": f"WITH {LOADED} SELECT * FROM l", "w05_audit_queue": W05, "e07_curve": E07, "e08_overall": E08, "e09_audit_summary": E09, "e09_labels": E09L, "e10_adjusted_curve": E10, "e11_top_values": E11T, "e12_field_profile": E12, "e13_run_summary": E13, "e14_counters": E14, "e15_rule_eval": E15, "e16_tally": E16, "b10_meta_upsert": B10}
